@@ -9,10 +9,12 @@ passages and lines that many documents share stay out of the prefixes.
 1. Equal sets become one class, named by its smallest doc_id.
 2. Classes with one prefix and one size become one group. Prefix shingles that
    only one group has are dropped at once.
-3. Star round: a group meets, for each of its shingles, only the smallest and
-   the largest group that has it, a member of a group only the group's first.
-   These pairs grow with the input, not with the square of a group of copies.
-   They are verified on the whole sets, and the links' components found.
+3. Star round: a shingle's star is the smallest and the largest group that has
+   it. A group meets the one star that it shares most shingles with, a member of
+   a group only the group's first. These pairs grow with the input, not with the
+   square of a group of copies. They are verified on the whole sets, and the
+   links' components found. The round only saves work: whatever it leaves
+   unlinked is left to the next.
 4. What is left are pairs of different components. They are joined on their
    shingles, counted, filtered by size and by how much of the prefixes they
    share, expanded to members and verified. Pairs inside a component cannot
@@ -27,6 +29,7 @@ folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_parts
 
 WORDS, PERCENT = 5, 75
 #: Size of the table of shingle counts: bounded, whatever the corpus.
 TABLE, CHUNKS = 1 << 19, 64
-#: Texts hashed at once, in bytes.
-BATCH = 1 << 22
+#: A group meets a star only if it shares one in so many of its prefix shingles with it.
+STAR_SHARE = 6
+#: Bytes of ids or pairs that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 8 << 20
+#: Bytes of text hashed at once.
+BLOCK = 1 << 18
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,89 +59,145 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+#: A number for each byte.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-#: A random number for each byte, and the powers of the base for a block and back.
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of lower-cased ``raw``, all words at once."""
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of lower-cased ``raw``, all at once."""
     b = np.frombuffer(raw, np.uint8)
-    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    space = _SPACE[b]
+    edge = np.nonzero(np.diff(space, prepend=True, append=True))[0]
+    start, end = edge[::2], edge[1::2]
     # sums of byte numbers times powers of the base; a word's sum is scaled back to its own start
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * _powers(len(b)))))
-    back = np.full(len(b), _INVERSE)
-    back[0] = 1
-    h = (sums[end] - sums[start]) * np.multiply.accumulate(back)[start]
-    return _mix(h + (end - start).astype(np.uint64))
-
-
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of ``text``; fewer words: their sequence as one; none: empty."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    parts = []
-    if len(raw) > BATCH:  # cut at white space, so memory stays bounded by the words' hashes
-        at = 0
-        while at < len(raw):
-            end = min(len(raw), at + BATCH)
-            while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
-                end += 1
-            parts.append(word_hashes(raw[at:end]))
-            at = end
-    w = np.concatenate(parts) if parts else word_hashes(raw)
-    if not len(w):
-        return w
-    n = min(words, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = _mix(h * _BASE + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    n = max(BLOCK, len(b)) + 1
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * _powers(int(_BASE), n)[: len(b)], out=sums[1:])
+    h = (sums[end] - sums[start]) * _powers(pow(int(_BASE), -1, 1 << 64), n)[start]
+    return start, _mix(h + (end - start).astype(np.uint64))
+
+
+def _blocks(raw: bytes) -> Iterator[bytes]:
+    """``raw`` cut at white space into blocks of about BLOCK bytes."""
+    at = 0
+    while at < len(raw):
+        end = at + BLOCK
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def _shingles(w: np.ndarray, words: int) -> np.ndarray:
+    h = w[: len(w) - words + 1].copy()
+    for i in range(1, words):
+        h = h * _BASE + w[i : len(w) - words + 1 + i]
+    return _mix(h)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
+def _long_set(raw: bytes, words: int) -> np.ndarray:
+    w = np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(x)[1] for x in _blocks(raw))])
+    return _distinct(_shingles(w, min(words, len(w))) + np.uint64(min(words, len(w)))) if len(w) else w
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(all sets' shingle hashes, ends of the sets) of successive texts, a block of texts at a time.
+
+    A set is sorted and distinct. Fewer words: their sequence as one shingle; no
+    words or null: empty. Memory is bounded by a block, or by one text beyond it.
+    """
+
+    def of(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.cumsum([len(x) + 1 for x in group])
+        start, h = _word_hashes(b"\n".join(group))
+        bounds = np.searchsorted(start, at)
+        every = _shingles(h, words) + np.uint64(words) if len(h) >= words else None
+        sets, first = [], 0
+        for last in bounds:
+            n = last - first
+            if n >= words:
+                sets.append(_distinct(every[first : last - words + 1]))
+            else:
+                sets.append(_shingles(h[first:last], n) + np.uint64(n) if n else h[:0])
+            first = last
+        return np.concatenate(sets), np.cumsum([len(x) for x in sets])
+
+    group, size = [], 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+        if group and size + len(raw) >= BLOCK:
+            yield of(group)
+            group, size = [], 0
+        if len(raw) >= BLOCK:
+            s = _long_set(raw, words)
+            yield s, np.array([len(s)])
+            continue
+        group.append(raw)
+        size += len(raw) + 1
+    if group:
+        yield of(group)
+
+
+def prefix_size_col(n: str, percent: int = PERCENT):
+    return F.col(n) - F.ceil(F.lit(percent) * F.col(n) / 100) + 1
 
 
 def prefix_size(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set: two sums of differently mixed members."""
-    a = _mix(s).sum(dtype=np.uint64)
-    b = _mix(s ^ _BASE).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def _signatures(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set: sums of its members mixed in two ways."""
+    out = []
+    for h in (_mix(flat), _mix(flat ^ _BASE)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h)))[ends]
+        out.append(np.diff(sums, prepend=np.uint64(0)).view(np.int64))
+    return out[0], out[1]
 
 
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (TABLE - 1)
 
 
 def _survey(texts: DataFrame, words: int) -> DataFrame:
     """Rows (doc_id, n, a, b) of all documents, and each task's shingle counts as rows (chunk, task, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TABLE, np.uint32)
+        counts, waiting = np.zeros(TABLE, np.int64), []
         for b in batches:
-            out = []
-            for t in b.column(1):
-                s = shingle_set(t.as_py(), words)
-                np.add.at(counts, (s >> np.uint64(40)).astype(np.int64) & (TABLE - 1), 1)
-                out.append((len(s), *_signature(s)))
-            n, x, y = zip(*out, strict=True) if out else ((), (), ())
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        task = TaskContext.get().partitionId()
-        part = TABLE // CHUNKS
+            n, x, y = [], [], []
+            for flat, ends in shingle_sets(b.column(1).to_pylist(), words):
+                waiting.append(_slot(flat))
+                if sum(map(len, waiting)) > TABLE:
+                    counts += np.bincount(np.concatenate(waiting), minlength=TABLE)
+                    waiting = []
+                p, q = _signatures(flat, ends)
+                n.append(np.diff(ends, prepend=0))
+                x.append(p)
+                y.append(q)
+            k = b.num_rows
+            if k:
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(c)) for c in (n, x, y)], pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        for w in waiting:
+            counts += np.bincount(w, minlength=TABLE)
+        task, part = TaskContext.get().partitionId(), TABLE // CHUNKS
         for c in range(CHUNKS):
             if (own := counts[c * part : (c + 1) * part]).any():
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([c], pa.int32()), pa.array([task], pa.int32()), pa.array([own.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([c], pa.int32()), pa.array([task], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
 
     names = ["doc_id", "n", "a", "b", "chunk", "task", "counts"]
     return texts.mapInArrow(run, "doc_id long, n long, a long, b long, chunk int, task int, counts binary")
@@ -144,16 +207,16 @@ def _table(survey: DataFrame) -> np.ndarray:
     """The counts of all tasks added up, in two levels; TABLE numbers reach the driver."""
 
     def add(kind: str):
-        def run(t: pa.Table) -> pa.Table:
+        def run(key: tuple, t: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x.as_py(), kind).astype(np.int64) for x in t["counts"])
             return pa.table({"chunk": [t["chunk"][0].as_py()], "counts": [total.tobytes()]}, schema=pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
         return run
 
     parts = survey.filter("chunk IS NOT NULL").select("chunk", (F.col("task") % 64).alias("lot"), "counts")
-    first = parts.groupBy("chunk", "lot").applyInArrow(lambda key, t: add("<u4")(t), "chunk int, counts binary")
+    first = parts.groupBy("chunk", "lot").applyInArrow(add("<u4"), "chunk int, counts binary")
     out = np.zeros(TABLE, np.int64)
-    for r in first.groupBy("chunk").applyInArrow(lambda key, t: add("<i8")(t), "chunk int, counts binary").collect():
+    for r in first.groupBy("chunk").applyInArrow(add("<i8"), "chunk int, counts binary").collect():
         part = TABLE // CHUNKS
         out[r["chunk"] * part : (r["chunk"] + 1) * part] = np.frombuffer(r["counts"], "<i8")
     return out
@@ -161,45 +224,102 @@ def _table(survey: DataFrame) -> np.ndarray:
 
 def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
     """(a, b, n, gid, prefix) of the classes; a task gives each of its classes once."""
-    shared = texts.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
+    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), words)
-                if not len(s) or (sig := _signature(s)) in seen:
-                    continue
-                seen.add(sig)
-                p = prefix_size(len(s), percent)
-                order = np.argsort(counts[(s >> np.uint64(40)).astype(np.int64) & (TABLE - 1)], kind="stable")
-                first = s[order[:p]]
-                out.append((*sig, len(s), _signature(np.append(first, np.uint64(len(s))))[0], first.view(np.int64)))
-            if out:
-                cols = list(zip(*out, strict=True))
-                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[4])]), pa.int32()), pa.array(np.concatenate(cols[4])))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], flat], ["a", "b", "n", "gid", "prefix"])
+            for flat, ends in shingle_sets(batch.column(1).to_pylist(), words):
+                a, b = _signatures(flat, ends)
+                weight = counts[_slot(flat)]
+                firsts, rows, start = [], [], 0
+                for k, end in enumerate(ends):
+                    if end > start and (sig := (a[k], b[k])) not in seen:
+                        seen.add(sig)
+                        order = np.argsort(weight[start:end], kind="stable")[: prefix_size(end - start, percent)]
+                        firsts.append(flat[start:end][order])
+                        rows.append((k, end - start))
+                    start = end
+                if rows:
+                    at, n = (np.array(c) for c in zip(*rows, strict=True))
+                    every, stops = np.concatenate(firsts), np.cumsum([len(f) for f in firsts])
+                    g = (_signatures(every, stops)[0].view(np.uint64) * _BASE + n.astype(np.uint64)).view(np.int64)
+                    listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(every.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n), pa.array(g), listed], ["a", "b", "n", "gid", "prefix"])
 
     return texts.mapInArrow(run, "a long, b long, n long, gid long, prefix array<long>")
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(token, gid) of prefix shingles that more than one group has.
+
+    The rows are sorted by (token, gid) over all partitions, so even one shingle
+    in a third of all prefixes is dealt to many tasks, and each row looks at its
+    neighbours. At a partition's two ends the neighbour isn't seen: such rows
+    are kept, and what turns out to be alone is dropped by the joins.
+    """
+    pairs = prefixes.select(F.explode("prefix").alias("token"), "gid")
+    parts = shuffle_parts(prefixes.sparkSession)
+    ordered = pairs.repartitionByRange(parts, "token", "gid").sortWithinPartitions("token", "gid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of the token at a batch's end wait for the next batch, two at least: a first and a second group
+        token, gid, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for b in batches:
+            t, g = np.concatenate((token, b.column(0).to_numpy())), np.concatenate((gid, b.column(1).to_numpy()))
+            if not len(t):
+                continue
+            first = t[0] if first is None else first
+            new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))
+            t, g = t[new], g[new]
+            twin = np.concatenate(([False], t[1:] == t[:-1]))
+            many = twin | np.concatenate((twin[1:], [False])) | (t == first)
+            open_ = t == t[-1]
+            out = many & ~open_
+            if np.count_nonzero(open_) > 2:  # surely shared: all but the last two rows can go on
+                ahead = np.nonzero(open_)[0][:-2]
+                out[ahead] = True
+                open_[ahead] = False
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(g[out])], ["token", "gid"])
+            token, gid = t[open_], g[open_]
+        if len(token):
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid)], ["token", "gid"])
+
+    return ordered.mapInArrow(run, "token long, gid long")
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), _signed(flat))], ["node", "shingles"])
+            at = 0
+            for flat, ends in shingle_sets(b.column(1).to_pylist(), words):
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), listed], ["node", "shingles"])
+                at += len(ends)
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) whose sets have 100 * intersection >= percent * union."""
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}")) for k in "xy")
-    j = pairs.join(x, "x").join(y, "y").withColumn("_i", F.size(F.array_intersect("_x", "_y")))
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its counted rows of two longs are within BROADCAST bytes."""
+    return F.broadcast(df) if df.count() * 16 <= BROADCAST else df
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) of documents whose sets have 100 * intersection >= percent * union.
+
+    Sets are computed anew, from the whole texts of the pairs' documents only.
+    Only the sets of x travel with their pairs and those of y once each.
+    """
+    pairs = materialize(pairs, "pairs")
+    side = {}
+    for k in "xy":
+        ids = _small(pairs.select(F.col(k).alias("doc_id")).distinct())
+        side[k] = _sets(texts.join(ids, "doc_id", "left_semi"), words).select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}"))
+    j = side["x"].join(_small(pairs), "x").join(side["y"], "y").withColumn("_i", F.size(F.array_intersect("_x", "_y")))
     return j.filter(F.col("_i") * 100 >= (F.size("_x") + F.size("_y") - F.col("_i")) * percent).select("x", "y")
 
 
@@ -234,27 +354,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = survey.filter("chunk IS NULL").select("doc_id", "n", "a", "b")
     classes = materialize(rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")), "classes")
     prefixes = materialize(_prefixes(texts, _table(survey), words, percent), "prefixes")
-    spread = prefixes.select("gid", F.explode("prefix").alias("token"))
-    common = materialize(spread.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi"), "common")
     # a class may have come from several tasks; its node is one
     members = materialize(prefixes.select("a", "b", "n", "gid").distinct().join(classes, ["a", "b", "n"]).select("gid", "node", "n"), "members")
-    shared = materialize(spread.join(common.select("token"), "token").distinct(), "shared")
-    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
-    touched = shared.select("gid").union(heads.filter("size > 1").select("gid")).distinct()
-    wanted = members.join(touched, "gid", "left_semi").select(F.col("node").alias("doc_id"))
-    sets = materialize(_sets(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
-
-    ends = shared.join(common, "token").select("gid", F.explode(F.array("lo", "hi")).alias("star")).filter("gid <> star").distinct()
-    a, b = (heads.select(F.col("gid").alias(g), F.col("head").alias(h)) for g, h in (("gid", "x"), ("star", "y")))
-    stars = ends.join(a, "gid").join(b, "star").select("x", "y")
-    own = members.join(heads.filter("size > 1"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    first = stars.union(own).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = materialize(verified(first, sets, percent), "stars")
+    found = materialize(_shared(prefixes), "found")
+    common = materialize(found.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi"), "common")
+    shared = materialize(found.join(common.select("token"), "token"), "shared")
+    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.count("*").alias("size")), "heads")
+
+    # each group meets, of the first and last groups of its shingles, the one it shares most of its prefix with
+    met = shared.join(common, "token").select("gid", F.explode(F.array("lo", "hi")).alias("star")).filter("gid <> star").groupBy("gid", "star").agg(F.count("*").alias("c"))
+    best = met.groupBy("gid").agg(F.max(F.struct("c", "star")).alias("m")).select("gid", F.col("m.star").alias("star"), F.col("m.c").alias("c"))
+    a = heads.select("gid", F.col("head").alias("x"), "n")
+    b = heads.select(F.col("gid").alias("star"), F.col("head").alias("y"))
+    stars = best.join(a, "gid").filter(F.col("c") * STAR_SHARE >= prefix_size_col("n", percent)).join(b, "star").select("x", "y")
+    own = members.join(heads.filter("size > 1").select("gid", "head"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    links = materialize(verified(stars.union(own).distinct(), texts, words, percent), "stars")
     labels = components(links)
 
     named = members.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("comp", "node").alias("comp"))
     named = materialize(named, "named")
-    late = materialize(verified(_across(shared, named, percent), sets, percent), "across")
+    late = materialize(verified(_across(shared, named, percent), texts, words, percent), "across")
     if late.limit(1).count():
         labels = components(links.union(late))
     final = classes.join(labels, "node", "left").select("a", "b", "n", F.coalesce("comp", "node").alias("comp"))
