@@ -1,0 +1 @@
+"""Grouped aggregation, graph preparation, ranking, paths and partitioning."""

@@ -1,9 +1,343 @@
-"""The query catalogue."""
+"""The query catalogue: each operator on the driver's tables, and its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import byte_sum, chunks, digit_count, key_part, tokens, zero_padded
+from ..operators import aggregate as A
+from ..operators import graph_etl as X
+from ..operators import pagerank as R
+from ..operators import partition as P
+from ..operators.sssp import shortest_paths
+from ..sources import RecordStore, distance_line, numbered_line, parse_edges, parse_numbered, size_capped
+from .graphs import GC, GP, GS, customer_supplier, part_supplier, table
+from .mapreduce import MapReduceJob
+
+PARTS, SHARD = 3, 500
+
+
+def _words(s, d):
+    return table(s, d, "documents").select(F.explode(tokens("text")).alias("word"))
+
+
+def _rank(df):
+    return df.select("vertex", F.round("rank", 6).alias("rank"))
+
+
+def _long(df):
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+def word_count(s, d):
+    return _words(s, d).groupBy("word").agg(F.count("*").alias("cnt"))
+
+
+def word_total(s, d):
+    return _words(s, d).agg(F.count("*").alias("total"), F.count_distinct("word").alias("n_words"))
+
+
+def token_chunks(s, d):
+    return _words(s, d).select(F.explode(chunks(F.col("word"), 8)).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("cnt"))
+
+
+def mapreduce_word_count(s, d):
+    pairs = F.transform(tokens("text"), lambda t: F.struct(t.alias("key"), F.lit(1).cast("bigint").alias("value")))
+    return MapReduceJob(map=pairs, combine="sum").run(table(s, d, "documents")).select(F.col("key").alias("word"), F.col("value").alias("cnt"))
+
+
+def mapreduce_pandas_reduce(s, d):
+    import pandas as pd
+
+    def spread(key, pdf):
+        return pd.DataFrame({"key": [key[0]], "value": [float(pdf["value"].max() - pdf["value"].min())]})
+
+    pair = F.array(F.struct(F.col("o_orderpriority").alias("key"), F.col("o_totalprice").alias("value")))
+    job = MapReduceJob(map=pair, reduce=spread, reduce_schema="key string, value double", partition=F.col("key"))
+    return job.run(table(s, d, "orders")).select("key", F.round("value", 2).alias("spread"))
+
+
+def line_count_by_source(s, d):
+    return table(s, d, "documents").select("source", F.size(F.split("text", "\n")).alias("n")).groupBy("source").agg(F.sum("n").cast("bigint").alias("n_lines"), F.count("*").alias("n_docs"))
+
+
+def byte_hash(s, d):
+    return table(s, d, "part").select("p_partkey", byte_sum(F.col("p_name")).alias("h"))
+
+
+def key_formats(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", digit_count(k).alias("digits"), zero_padded(k).alias("padded"), key_part(k, 7).cast("bigint").alias("part"), F.least(k, F.col("o_custkey")).alias("smaller"))
+
+
+def group_values_sorted(s, d):
+    g = A.group_sorted(table(s, d, "orders"), "o_custkey", "o_orderkey")
+    return g.select("o_custkey", F.array_join(F.transform("values", lambda v: v.cast("string")), " ").alias("keys"))
+
+
+def symmetrize_edges(s, d):
+    return customer_supplier(s, d)
+
+
+def adjacency_lists(s, d):
+    return X.adjacency(part_supplier(s, d, True)).select("vertex", F.array_join(F.transform("nbrs", lambda v: v.cast("string")), " ").alias("nbrs"))
+
+
+def adjacency_dense(s, d):
+    return X.adjacency(part_supplier(s, d, True), dense=True).select("vertex", F.size("nbrs").cast("bigint").alias("n"))
+
+
+def adjacency_round_trip(s, d):
+    lines = X.adjacency(part_supplier(s, d, True)).select(F.concat(F.lit(" "), numbered_line()).alias("value"))
+    return X.explode_adjacency(parse_numbered(lines))
+
+
+def edge_list_parse(s, d):
+    e = part_supplier(s, d, True).select(F.concat_ws(" ", "src", "dst").alias("value")).union(s.createDataFrame([("# to from",), ("",)], "value string"))
+    return parse_edges(e)
+
+
+def graph_stats(s, d):
+    return X.graph_stats(part_supplier(s, d))
+
+
+def degree(s, d):
+    return X.degrees(part_supplier(s, d))
+
+
+def neighbor_hot_keys(s, d):
+    """Neighbours' id sums of all vertices, salted against suppliers with very many parts."""
+    return A.salted_sum(part_supplier(s, d), "src", F.col("dst"), "total")
+
+
+def salted_group_sum(s, d):
+    return A.salted_sum(table(s, d, "lineitem"), "l_suppkey", F.col("l_quantity").cast("bigint"), "qty")
+
+
+def pagerank_source_3(s, d):
+    return _rank(R.pagerank(customer_supplier(s, d), 3))
+
+
+def pagerank_stored_3(s, d):
+    return _rank(R.pagerank(customer_supplier(s, d), 3, degree="stored"))
+
+
+def pagerank_tol(s, d):
+    return _rank(R.pagerank(part_supplier(s, d, True), 60, tol=1e-4))
+
+
+def pagerank_grid_blocks(s, d):
+    return R.grid_blocks(customer_supplier(s, d), 4)
+
+
+def shard_intervals(s, d):
+    return R.shard_ranges(customer_supplier(s, d), SHARD)
+
+
+def shard_interval_lengths(s, d):
+    return R.shard_lengths(customer_supplier(s, d), SHARD)
+
+
+def rank_updates_count(s, d):
+    return R.rank_updates(part_supplier(s, d, True), 2)
+
+
+def _first_vertex(e):
+    return e.agg(F.min("src")).first()[0]
+
+
+def sssp(s, d):
+    e = part_supplier(s, d, True)
+    return shortest_paths(e, _first_vertex(e))
+
+
+def sssp_lines(s, d):
+    return sssp(s, d).select(distance_line().alias("line"))
+
+
+def init_partition(s, d):
+    return _long(P.initial_parts(customer_supplier(s, d), PARTS))
+
+
+def edge_cut_total(s, d):
+    e = customer_supplier(s, d)
+    return P.edge_cut(e, P.initial_parts(e, PARTS))
+
+
+def d_values(s, d):
+    e = customer_supplier(s, d)
+    return P.d_values(e, P.initial_parts(e, PARTS))
+
+
+def boundary_counts(s, d):
+    e = customer_supplier(s, d)
+    return P.boundary_counts(e, P.initial_parts(e, PARTS))
+
+
+def best_swap_pair(s, d):
+    e = customer_supplier(s, d)
+    return P.pair_swaps(e, P.initial_parts(e, PARTS), 0, 1, 1).select("a", "b", "gain")
+
+
+def cut_after_best_swap(s, d):
+    e = customer_supplier(s, d)
+    w = P.initial_parts(e, PARTS)
+    return P.edge_cut(e, P.swap(w, P.pair_swaps(e, w, 0, 1, 1), 0, 1))
+
+
+def refine_partition(s, d):
+    e = part_supplier(s, d, True)
+    return _long(P.refine(e, P.initial_parts(e, PARTS), PARTS))
+
+
+def multilevel_partition(s, d):
+    return _long(P.multilevel(part_supplier(s, d, True), PARTS))
+
+
+def refine_then_rank(s, d):
+    r = P.refine_then_rank(part_supplier(s, d, True), PARTS)
+    return _long(r.select("vertex", "part", F.round("rank", 6).alias("rank")))
+
+
+def relabel_vertices(s, d):
+    return _long(X.relabel(P.initial_parts(customer_supplier(s, d), PARTS)))
+
+
+def part_boundaries(s, d):
+    return _long(X.boundaries(P.initial_parts(customer_supplier(s, d), PARTS)))
+
+
+def relabelled_edges(s, d):
+    e = customer_supplier(s, d)
+    return X.relabel_edges(e, X.relabel(P.initial_parts(e, PARTS)))
+
+
+def partition_histogram(s, d):
+    return X.part_histogram(P.initial_parts(customer_supplier(s, d), PARTS), 8)
+
+
+def extract_partition(s, d):
+    return P.initial_parts(customer_supplier(s, d), PARTS).filter("part = 1").select("vertex")
+
+
+def handshake_matching_round(s, d):
+    return P.matching_round(customer_supplier(s, d))
+
+
+def coarse_graph(s, d):
+    e = customer_supplier(s, d)
+    m = P.matching_round(e)
+    mates = X.vertices(e).join(m, "vertex", "left").select("vertex", F.coalesce("mate", "vertex").alias("mate"))
+    return P.contract(e, P.coarse_map(mates))
+
+
+def key_batches_topk(s, d):
+    return A.key_batches(table(s, d, "lineitem"), "l_partkey", 100)
+
+
+def cyclic_distribution(s, d):
+    return A.deal_out(table(s, d, "customer").select("c_custkey"), ["c_custkey"], 7)
+
+
+def size_capped_prefix(s, d):
+    return size_capped(table(s, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("n_chars").alias("length")), 100000)
+
+
+def record_store(s, d):
+    """Write, overwrite, delete and read a range of keyed records."""
+    from ..session import scratch
+
+    store = RecordStore(s, scratch(s, "store"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    store.write(c)
+    new = c.filter("key % 10 = 0").withColumn("value", F.concat("value", F.lit("!")))
+    put, gone = store.put(new), c.filter("key % 7 = 0")
+    after = RecordStore(s, scratch(s, "store"))
+    after.write(put.join(gone.select("key"), "key", "left_anti"))
+    return after.get_range(20, 60)
+
+
+_WORDS = r"(SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) AS word FROM documents)"
+_PART = f"w AS (SELECT DISTINCT src AS vertex, src % {PARTS} AS part FROM e)"
+_CUT = "x AS (SELECT src, dst, (ws.part <> wd.part)::BIGINT AS cut FROM e JOIN w ws ON src = ws.vertex JOIN w wd ON dst = wd.vertex)"
+_D = "dv AS (SELECT dst AS vertex, sum(cut)::BIGINT AS ext, count(*) AS deg, (2 * sum(cut) - count(*))::BIGINT AS d FROM x GROUP BY 1)"
+_BEST = "best AS (SELECT a.vertex AS a, b.vertex AS b, a.d + b.d - 2 * (c.src IS NOT NULL)::BIGINT AS gain FROM dv a JOIN dv b ON a.vertex % 3 = 0 AND b.vertex % 3 = 1 LEFT JOIN e c ON c.src = a.vertex AND c.dst = b.vertex WHERE a.d + b.d - 2 * (c.src IS NOT NULL)::BIGINT > 0 ORDER BY gain DESC, a, b LIMIT 1)"
+_MATCH = """p AS (SELECT src AS vertex, arg_min(dst, md5(dst::VARCHAR)) AS mate FROM e WHERE src <> dst GROUP BY 1),
+m AS (SELECT p.vertex, p.mate FROM p JOIN p q ON q.vertex = p.mate AND q.mate = p.vertex)"""
+
+
+def _ranks(graph: str, rounds: int, key: str) -> str:
+    """Unrolled rounds; key: the end whose degree counts."""
+    out = [f"WITH {graph}", f"deg AS (SELECT {key} AS v, count(*) AS d FROM e GROUP BY 1)", "v AS (SELECT DISTINCT src AS vertex FROM e)", "r0 AS (SELECT vertex, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+    for i in range(1, rounds + 1):
+        out.append(f"r{i} AS (SELECT dst AS vertex, 0.15::DOUBLE + 0.85::DOUBLE * sum(rank / d) AS rank FROM e JOIN r{i - 1} ON vertex = src JOIN deg ON deg.v = e.{key} GROUP BY 1)")
+    return ",\n".join(out)
+
+
+_SSSP = f"""WITH RECURSIVE {GS}, t(v, d) AS (
+  SELECT min(src), 0::BIGINT FROM e UNION SELECT e.dst, t.d + 1 FROM t JOIN e ON e.src = t.v WHERE t.d < 40
+), best AS (SELECT v, min(d) AS dist FROM t GROUP BY 1)
+SELECT vertex, dist FROM (SELECT DISTINCT src AS vertex FROM e) LEFT JOIN best ON v = vertex"""
+
+SQL = {
+    "word_count": f"SELECT word, count(*) AS cnt FROM {_WORDS} WHERE word <> '' GROUP BY 1",
+    "mapreduce_word_count": f"SELECT word, count(*) AS cnt FROM {_WORDS} WHERE word <> '' GROUP BY 1",
+    "word_total": f"SELECT count(*) AS total, count(DISTINCT word) AS n_words FROM {_WORDS} WHERE word <> ''",
+    "token_chunks": f"SELECT chunk, count(*) AS cnt FROM (SELECT unnest(list_transform(generate_series(0, (length(word) - 1) // 8), lambda i: substr(word, (i * 8 + 1)::BIGINT, 8))) AS chunk FROM {_WORDS} WHERE word <> '') GROUP BY 1",
+    "mapreduce_pandas_reduce": "SELECT o_orderpriority AS key, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1",
+    "line_count_by_source": "SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, count(*) AS n_docs FROM documents GROUP BY 1",
+    "byte_hash": "SELECT p_partkey, list_sum(list_transform(string_split(p_name, ''), lambda c: ascii(c)))::BIGINT AS h FROM part",
+    "key_formats": "SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(o_orderkey::VARCHAR) END::BIGINT AS digits, lpad(o_orderkey::VARCHAR, 19, '0') AS padded, (o_orderkey % 7)::BIGINT AS part, least(o_orderkey, o_custkey) AS smaller FROM orders",
+    "group_values_sorted": "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1",
+    "symmetrize_edges": f"WITH {GC} SELECT * FROM e",
+    "adjacency_lists": f"WITH {GS} SELECT src AS vertex, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS nbrs FROM e GROUP BY 1",
+    "adjacency_dense": f"WITH {GS}, k AS (SELECT * FROM e WHERE src <> 0 AND dst <> 0), i AS (SELECT unnest(generate_series(1, (SELECT max(src) FROM k))) AS vertex) SELECT i.vertex::BIGINT AS vertex, count(k.src) AS n FROM i LEFT JOIN k ON k.src = i.vertex GROUP BY 1",
+    "adjacency_round_trip": f"WITH {GS} SELECT dst AS src, src AS dst, count(*) OVER (PARTITION BY src) AS num_neighbors FROM e",
+    "edge_list_parse": f'WITH {GS} SELECT src AS "to", dst AS "from" FROM e',
+    "graph_stats": f"WITH {GP} SELECT (max(greatest(src, dst)) + 1)::BIGINT AS n_vertices, count(*) * 2 AS doubled_edges, count(*) AS symmetric_edges FROM e",
+    "degree": f"WITH {GP} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY 1",
+    "neighbor_hot_keys": f"WITH {GP} SELECT src, sum(dst)::BIGINT AS total FROM e GROUP BY 1",
+    "salted_group_sum": "SELECT l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS qty FROM lineitem GROUP BY 1",
+    "pagerank_source_3": _ranks(GC, 3, "src") + "\nSELECT vertex, round(rank, 6) AS rank FROM r3",
+    "pagerank_stored_3": _ranks(GC, 3, "dst") + "\nSELECT vertex, round(rank, 6) AS rank FROM r3",
+    "rank_updates_count": _ranks(GS, 2, "src") + "\nSELECT 1::BIGINT AS iteration, count(*) FILTER (abs(r1.rank - r0.rank) > 1e-12) AS updated FROM r1 JOIN r0 USING (vertex) UNION ALL SELECT 2, count(*) FILTER (abs(r2.rank - r1.rank) > 1e-12) FROM r2 JOIN r1 USING (vertex)",
+    "pagerank_grid_blocks": f"WITH {GC} SELECT src % 4 AS src_block, dst % 4 AS dst_block, count(*) AS n_edges FROM e GROUP BY 1, 2",
+    "shard_intervals": f"WITH {GC} SELECT dst // {SHARD} AS shard, min(dst) AS lb, max(dst) AS ub, count(DISTINCT dst) AS n_keys, count(*) AS n_edges FROM e GROUP BY 1",
+    "shard_interval_lengths": f"WITH {GC}, r AS (SELECT dst // {SHARD} AS shard, min(dst) AS lb, max(dst) AS ub FROM e GROUP BY 1) SELECT e.dst // {SHARD} AS shard, r.shard AS \"interval\", count(*) AS n_edges FROM e JOIN r ON e.src BETWEEN r.lb AND r.ub GROUP BY 1, 2",
+    "sssp": _SSSP,
+    "sssp_lines": f"SELECT 'Node: ' || vertex || ' Distance: ' || coalesce(dist::VARCHAR, '18446744073709551615') AS line FROM ({_SSSP})",
+    "init_partition": f"WITH {GC}, {_PART} SELECT * FROM w",
+    "edge_cut_total": f"WITH {GC}, {_PART}, {_CUT} SELECT (sum(cut) // 2)::BIGINT AS cut FROM x",
+    "d_values": f"WITH {GC}, {_PART}, {_CUT}, {_D} SELECT * FROM dv",
+    "boundary_counts": f"WITH {GC}, {_PART}, {_CUT} SELECT src AS vertex, count(*) AS n FROM x WHERE cut = 1 GROUP BY 1",
+    "best_swap_pair": f"WITH {GC}, {_PART}, {_CUT}, {_D}, {_BEST} SELECT * FROM best",
+    "cut_after_best_swap": f"WITH {GC}, {_PART}, {_CUT}, {_D}, {_BEST}, s AS (SELECT vertex, CASE WHEN vertex = (SELECT a FROM best) THEN 1 WHEN vertex = (SELECT b FROM best) THEN 0 ELSE part END AS part FROM w) SELECT (count(*) FILTER (p.part <> q.part) // 2)::BIGINT AS cut FROM e JOIN s p ON p.vertex = src JOIN s q ON q.vertex = dst",
+    "relabel_vertices": f"WITH {GC}, {_PART} SELECT vertex, part, row_number() OVER (ORDER BY part, vertex) AS new_id FROM w",
+    "part_boundaries": f"WITH {GC}, {_PART} SELECT part, (sum(count(*)) OVER (ORDER BY part) + 1)::BIGINT AS bound FROM w GROUP BY 1",
+    "relabelled_edges": f"WITH {GC}, {_PART}, l AS (SELECT vertex, row_number() OVER (ORDER BY part, vertex) AS id FROM w) SELECT a.id AS src, b.id AS dst FROM e JOIN l a ON a.vertex = src JOIN l b ON b.vertex = dst",
+    "partition_histogram": f"WITH {GC}, {_PART}, b AS (SELECT unnest(range(8)) AS part) SELECT b.part, count(w.vertex) AS n FROM b LEFT JOIN w ON w.part % 8 = b.part GROUP BY 1",
+    "extract_partition": f"WITH {GC}, {_PART} SELECT vertex FROM w WHERE part = 1",
+    "handshake_matching_round": f"WITH {GC}, {_MATCH} SELECT * FROM m",
+    "coarse_graph": f"WITH {GC}, {_MATCH}, v AS (SELECT DISTINCT src AS vertex FROM e), h AS (SELECT v.vertex, least(v.vertex, coalesce(m.mate, v.vertex)) AS head FROM v LEFT JOIN m ON m.vertex = v.vertex), c AS (SELECT vertex, dense_rank() OVER (ORDER BY head) - 1 AS id FROM h) SELECT a.id AS src, b.id AS dst, count(*) AS weight FROM e JOIN c a ON a.vertex = e.src JOIN c b ON b.vertex = e.dst WHERE a.id <> b.id GROUP BY 1, 2",
+    "key_batches_topk": "SELECT l_partkey, (row_number() OVER (ORDER BY l_partkey) - 1) // 100 AS batch FROM (SELECT DISTINCT l_partkey FROM lineitem)",
+    "cyclic_distribution": "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) % 7 AS part FROM customer",
+    "size_capped_prefix": "SELECT path, length FROM (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, n_chars AS length, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 100000",
+    "record_store": "SELECT c_custkey AS key, c_name || CASE WHEN c_custkey % 10 = 0 THEN '!' ELSE '' END AS value FROM customer WHERE c_custkey BETWEEN 20 AND 79 AND c_custkey % 7 <> 0",
+}
+
+QUERIES = (
+    word_count, word_total, token_chunks, mapreduce_word_count, mapreduce_pandas_reduce, line_count_by_source, byte_hash, key_formats, group_values_sorted,
+    symmetrize_edges, adjacency_lists, adjacency_dense, adjacency_round_trip, edge_list_parse, graph_stats, degree, neighbor_hot_keys, salted_group_sum,
+    pagerank_source_3, pagerank_stored_3, pagerank_tol, pagerank_grid_blocks, shard_intervals, shard_interval_lengths, rank_updates_count, sssp, sssp_lines,
+    init_partition, edge_cut_total, d_values, boundary_counts, best_swap_pair, cut_after_best_swap, refine_partition, multilevel_partition, refine_then_rank,
+    relabel_vertices, part_boundaries, relabelled_edges, partition_histogram, extract_partition, handshake_matching_round, coarse_graph,
+    key_batches_topk, cyclic_distribution, size_capped_prefix, record_store,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

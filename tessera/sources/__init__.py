@@ -1,0 +1,130 @@
+"""Text and record formats: readers, writers and a keyed record store on Parquet."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the lines of all files of a directory."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def parse_numbered(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(vertex, nbrs) of lines ``vertex nbr nbr ...``; leading blanks are tolerated, blank lines dropped, neighbours sorted."""
+    parts = F.split(F.trim(F.col(column)), r"\s+")
+    rows = lines.filter(F.trim(F.col(column)) != "").select(F.transform(parts, lambda x: x.try_cast("bigint")).alias("p"))
+    return rows.select(F.col("p")[0].alias("vertex"), F.array_sort(F.slice("p", 2, 1 << 30)).alias("nbrs"))
+
+
+def parse_edges(lines: DataFrame, column: str = "value", comment: str | None = "#") -> DataFrame:
+    """(to, from) of lines ``to from``; blank lines and comments are skipped."""
+    kept = lines.filter(F.trim(F.col(column)) != "")
+    if comment:
+        kept = kept.filter(~F.col(column).startswith(comment))
+    p = F.split(F.trim(F.col(column)), r"\s+")
+    return kept.select(p[0].cast("bigint").alias("to"), p[1].cast("bigint").alias("from"))
+
+
+def numbered_lines(spark: SparkSession, path: str, base: int = 1, header: bool = False) -> DataFrame:
+    """(n, value) of one file's lines, numbered in file order from ``base``.
+
+    Offsets come from the number of lines of each split, so no task reads the
+    whole file.
+    """
+    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
+    df = spark.createDataFrame(rows, "n bigint, value string")
+    return df.filter("n > 0").withColumn("n", F.col("n") - 1 + base) if header else df.withColumn("n", F.col("n") + base)
+
+
+def read_implicit_adjacency(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(vertex, nbrs) of a file whose line i lists the neighbours of vertex i, behind a header ``V E``."""
+    n = numbered_lines(spark, path, 1, header)
+    p = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    return n.select(F.col("n").alias("vertex"), F.transform(p, lambda x: x.cast("bigint")).alias("nbrs"))
+
+
+def read_parts(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
+    """(vertex, part) of a partition vector, one part a line."""
+    return numbered_lines(spark, path, base).select(F.col("n").alias("vertex"), F.trim("value").cast("int").alias("part"))
+
+
+def write_lines(df: DataFrame, line: Column, path: str, lines_per_file: int | None = None, order: list[str] | None = None) -> None:
+    """One text line a row; ``lines_per_file`` splits files at that many."""
+    out = df.orderBy(*order) if order else df
+    writer = out.select(line.alias("value")).write.mode("overwrite")
+    (writer.option("maxRecordsPerFile", lines_per_file) if lines_per_file else writer).text(path)
+
+
+def distance_line() -> Column:
+    """``Node: i Distance: d``; an unreachable vertex has the largest unsigned 64-bit number."""
+    return F.concat(F.lit("Node: "), F.col("vertex"), F.lit(" Distance: "), F.coalesce(F.col("dist").cast("string"), F.lit(str(2**64 - 1))))
+
+
+def adjacency_line() -> Column:
+    return F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ")
+
+
+def numbered_line() -> Column:
+    return F.concat_ws(" ", F.col("vertex").cast("string"), adjacency_line())
+
+
+def edge_line(a: str = "src", b: str = "dst", sep: str = " ") -> Column:
+    return F.concat_ws(sep, F.col(a).cast("string"), F.col(b).cast("string"))
+
+
+def binary_edges(edges: DataFrame, path: str) -> None:
+    """Consecutive little-endian int32 pairs, a file a partition, as rows (part, bytes) of Parquet.
+
+    Spark has no raw binary sink; ``edge_bytes`` gives a file's content.
+    """
+    edge_bytes(edges).write.mode("overwrite").parquet(path)
+
+
+def edge_bytes(edges: DataFrame) -> DataFrame:
+    """(bytes) of the int32 pairs (src, dst), an Arrow batch a row."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            pairs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1).astype("<i4")
+            yield pa.RecordBatch.from_pydict({"bytes": [pairs.tobytes()]})
+
+    return edges.select("src", "dst").mapInArrow(run, "bytes binary")
+
+
+def size_capped(files: DataFrame, limit: int, path: str = "path", length: str = "length") -> DataFrame:
+    """Files in path order until their sizes reach ``limit``, the one that crosses it included.
+
+    Sums of ranges first, so one task sees no more than a row a range.
+    """
+    w = Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("before", F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col("before") < limit).drop("before")
+
+
+class RecordStore:
+    """Keyed records on Parquet, in ranges of the key: points and ranges prune row groups."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "key") -> None:
+        self.spark, self.path, self.key = spark, path, key
+
+    def write(self, df: DataFrame) -> None:
+        df.repartitionByRange(F.col(self.key)).sortWithinPartitions(self.key).write.mode("overwrite").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def get(self, key: int) -> DataFrame:
+        return self.read().filter(F.col(self.key) == key)
+
+    def get_range(self, first: int, n: int) -> DataFrame:
+        return self.read().filter(F.col(self.key).between(first, first + n - 1))
+
+    def put(self, new: DataFrame) -> DataFrame:
+        """The records with those of ``new`` in place of old ones with the same key."""
+        return self.read().join(new.select(self.key), self.key, "left_anti").unionByName(new)
+
+    def delete(self, keys: DataFrame) -> DataFrame:
+        return self.read().join(keys.select(self.key), self.key, "left_anti")

@@ -1,0 +1 @@
+"""No streaming operators: the workloads are bounded, nothing here has a notion of event time."""
