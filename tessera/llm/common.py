@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, scratch, ship_package  # noqa: F401
 
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -21,60 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, local mode) a temporary folder of
-    this machine is taken, and the session is told of it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_written: list[str] = []
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; ``drop_scratch`` removes it."""
-    path = f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
-
-    Later reads do not depend on any executor that took part in writing.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this process (their readers must be done)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(conf).delete(at, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    """Scratch tables go with the driver, where its session still answers."""
-    from pyspark import SparkContext
-
-    if _written and SparkContext._active_spark_context is not None:
-        try:
-            drop_scratch(SparkSession.builder.getOrCreate())
-        except Exception:  # the JVM may be gone already
-            pass
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
