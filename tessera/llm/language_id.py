@@ -59,7 +59,9 @@ class Model:
     log_p: np.ndarray  # languages x BUCKETS
 
     def __post_init__(self) -> None:
-        self.p = np.exp(self.log_p)
+        # by trigram: a trigram's probabilities lie together
+        self.p = np.ascontiguousarray(np.exp(self.log_p).T.astype(np.float32))
+        self.log_t = np.ascontiguousarray(self.log_p.T.astype(np.float32))
 
 
 def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int | None = SAMPLE_PER_LANG, smoothing: float = 0.5) -> Model:
@@ -98,10 +100,11 @@ def _em(p: np.ndarray, rounds: int = 12) -> np.ndarray:
     pi = np.full(len(p), 1 / len(p))
     for _ in range(rounds):
         w = pi[:, None] * p
-        new = (w / w.sum(0)).mean(1)
-        done = np.abs(new - pi).max() < 1e-4
+        w /= w.sum(0)
+        new = w.mean(1)
+        done = np.abs(new - pi).max() < 1e-3 or np.sort(new)[-2] < LEAST_SHARE / 2
         pi = new
-        if done:
+        if done:  # also once all but one language are far below the least share
             break
     return pi
 
@@ -110,9 +113,9 @@ def infer(model: Model, grams: np.ndarray) -> list[tuple[str, float]]:
     """The chosen languages and their proportions, largest first (ties by name)."""
     if len(model.langs) == 1:
         return [(model.langs[0], 1.0)]
-    alone = model.log_p[:, grams].sum(1)
+    alone = model.log_t[grams].sum(0, dtype=np.float64)
     chosen, pi, fit = [int(alone.argmax())], np.ones(1), float(alone.max())
-    p = model.p[:, grams]
+    p = np.ascontiguousarray(model.p[grams].T)
     full = _em(p)
     for k in np.argsort(-full, kind="stable"):
         if k in chosen or full[k] < LEAST_SHARE:
