@@ -13,8 +13,9 @@ passages and lines that many documents share stay out of the prefixes.
    it. A group meets the one star that it shares most shingles with, a member of
    a group only the group's first. These pairs grow with the input, not with the
    square of a group of copies. They are verified on the whole sets, and the
-   links' components found. The round only saves work: whatever it leaves
-   unlinked is left to the next.
+   links' components found. Further rounds let what is left of the components
+   meet other stars, drawn by hash, until no link comes up. The rounds only save
+   work: whatever they leave unlinked is left to the next step.
 4. What is left are pairs of different components. They are joined on their
    shingles, counted, filtered by size and by how much of the prefixes they
    share, expanded to members and verified. Pairs inside a component cannot
@@ -42,6 +43,8 @@ from .common import materialize, shuffle_parts
 WORDS, PERCENT = 5, 75
 #: Size of the table of shingle counts: bounded, whatever the corpus.
 TABLE, CHUNKS = 1 << 19, 64
+#: Further star rounds at most, and the stars that a node meets in each.
+ROUNDS, DRAWS = 2, 4
 #: A group meets a star only if it shares one in so many of its prefix shingles with it.
 STAR_SHARE = 6
 #: Bytes of ids or pairs that are broadcast at most; more are joined by a shuffle.
@@ -371,8 +374,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = materialize(verified(stars.union(own).distinct(), texts, words, percent), "stars")
     labels = components(links)
 
-    named = members.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(named, "named")
+    for k in range(ROUNDS):
+        named = _named(members, labels)
+        more = materialize(verified(_stars(_live(shared, named), k, percent), texts, words, percent), "stars")
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        labels = components(links)
+    named = _named(members, labels)
     late = materialize(verified(_across(shared, named, percent), texts, words, percent), "across")
     if late.limit(1).count():
         labels = components(links.union(late))
@@ -381,15 +390,41 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their components; a node without links is its own."""
+    return materialize(members.join(labels, "node", "left").select("gid", "node", "n", F.coalesce("comp", "node").alias("comp")), "named")
+
+
+def _live(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """(token, node, n, comp) of the shingles that more than one component has."""
+    part = materialize(shared.join(named, "gid").select("token", "node", "n", "comp"), "tokens")
+    split = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    return materialize(part.join(split, "token", "left_semi"), "live")
+
+
+def _stars(live: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of a node and the stars of other components that it shares most shingles with.
+
+    Round k draws DRAWS stars a shingle, each the node with the least hash of
+    (node, draw); so a node meets at most DRAWS others a round, and others in
+    the next.
+    """
+    draws = range(k * DRAWS, (k + 1) * DRAWS)
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(d)).alias("h"), F.col("node").alias("y"), F.col("comp").alias("c_y"))).alias(f"s{d}") for d in draws]
+    tops = materialize(live.groupBy("token").agg(*least), "tops")
+    met = live.join(tops, "token").select("node", "n", "comp", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"s{d}.y").alias("y"), F.col(f"s{d}.c_y").alias("c_y")) for d in draws])).alias("s"))
+    met = met.filter("comp <> s.c_y").groupBy("node", "n", "s.d", "s.y").agg(F.count("*").alias("c"))
+    best = met.groupBy("node", "n", "d").agg(F.max(F.struct("c", "y")).alias("m")).filter(F.col("m.c") * STAR_SHARE >= prefix_size_col("n", percent))
+    return best.select(F.col("node").alias("x"), F.col("m.y").alias("y")).distinct()
+
+
 def _across(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that may reach the threshold.
 
     If a pair's prefixes have c shingles in common, its sets have at most c plus
     the longer rest behind a prefix; that and the sizes must allow the threshold.
     """
-    part = materialize(shared.join(named, "gid").select("token", "node", "n", "comp"), "tokens")
-    split = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    live = materialize(part.join(split, "token", "left_semi"), "live")
+    live = _live(shared, named)
     x, y = (live.select("token", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"c_{k}")) for k in "xy")
     sizes = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
     met = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & sizes)
