@@ -9,17 +9,17 @@ passages and lines that many documents share stay out of the prefixes.
 1. Equal sets become one class, named by its smallest doc_id.
 2. Classes with one prefix and one size become one group. Prefix shingles that
    only one group has are dropped at once.
-3. Star round: a shingle's star is the smallest and the largest group that has
-   it. A group meets the one star that it shares most shingles with, a member of
-   a group only the group's first. These pairs grow with the input, not with the
-   square of a group of copies. They are verified on the whole sets, and the
-   links' components found. Further rounds let what is left of the components
-   meet other stars, drawn by hash, until no link comes up. The rounds only save
+3. Star rounds: among the groups of one shingle and similar size, stars are
+   those in whose order it comes first (so the least edited of a group of near
+   copies) and some drawn by hash. A group meets the stars that it shares most
+   shingles with, a member of a group only the group's first. These pairs grow
+   with the input, not with the square of a group of copies. They are verified
+   on the whole sets, and the links' components found. The rounds only save
    work: whatever they leave unlinked is left to the next step.
-4. What is left are pairs of different components. They are joined on their
-   shingles, counted, filtered by size and by how much of the prefixes they
-   share, expanded to members and verified. Pairs inside a component cannot
-   change any class and are never formed.
+4. What is left are pairs of different components. Their groups are joined on
+   shingles that stand early enough in both orders for the pair's sizes, then
+   expanded to members and verified. Pairs inside a component cannot change any
+   class and are never formed.
 
 So no link between different texts is lost, and no bucket is expanded into all
 its pairs. Shingle sets are computed in Arrow batches; joins, counts and
@@ -43,8 +43,8 @@ from .common import materialize, shuffle_parts
 WORDS, PERCENT = 5, 75
 #: Size of the table of shingle counts: bounded, whatever the corpus.
 TABLE, CHUNKS = 1 << 19, 64
-#: Further star rounds at most, and the stars that a node meets in each.
-ROUNDS, DRAWS = 2, 4
+#: Further star rounds at most, and the stars by hash that a node meets in each.
+ROUNDS, DRAWS = 1, 2
 #: A group meets a star only if it shares one in so many of its prefix shingles with it.
 STAR_SHARE = 6
 #: Bytes of ids or pairs that are broadcast at most; more are joined by a shuffle.
@@ -254,27 +254,29 @@ def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) ->
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """(token, gid) of prefix shingles that more than one group has.
+    """(token, gid, pos, n) of prefix shingles that more than one group has; pos: place in the prefix.
 
     The rows are sorted by (token, gid) over all partitions, so even one shingle
     in a third of all prefixes is dealt to many tasks, and each row looks at its
     neighbours. At a partition's two ends the neighbour isn't seen: such rows
     are kept, and what turns out to be alone is dropped by the joins.
     """
-    pairs = prefixes.select(F.explode("prefix").alias("token"), "gid")
+    pairs = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "gid", F.col("n").cast("int").alias("n")).select("token", "gid", "pos", "n")
     parts = shuffle_parts(prefixes.sparkSession)
     ordered = pairs.repartitionByRange(parts, "token", "gid").sortWithinPartitions("token", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of the token at a batch's end wait for the next batch, two at least: a first and a second group
-        token, gid, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        names, waiting, first = ["token", "gid", "pos", "n"], None, None
         for b in batches:
-            t, g = np.concatenate((token, b.column(0).to_numpy())), np.concatenate((gid, b.column(1).to_numpy()))
-            if not len(t):
+            if not b.num_rows:
                 continue
-            first = t[0] if first is None else first
-            new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])))
-            t, g = t[new], g[new]
+            new = [c.to_numpy() for c in b.columns]
+            rows = [np.concatenate(c) for c in zip(waiting, new, strict=True)] if waiting else new
+            first = rows[0][0] if first is None else first
+            fresh = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+            rows = [c[fresh] for c in rows]
+            t = rows[0]
             twin = np.concatenate(([False], t[1:] == t[:-1]))
             many = twin | np.concatenate((twin[1:], [False])) | (t == first)
             open_ = t == t[-1]
@@ -284,12 +286,12 @@ def _shared(prefixes: DataFrame) -> DataFrame:
                 out[ahead] = True
                 open_[ahead] = False
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(g[out])], ["token", "gid"])
-            token, gid = t[open_], g[open_]
-        if len(token):
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(gid)], ["token", "gid"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in rows], names)
+            waiting = [c[open_] for c in rows]
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting], names)
 
-    return ordered.mapInArrow(run, "token long, gid long")
+    return ordered.mapInArrow(run, "token long, gid long, pos int, n int")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -360,23 +362,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # a class may have come from several tasks; its node is one
     members = materialize(prefixes.select("a", "b", "n", "gid").distinct().join(classes, ["a", "b", "n"]).select("gid", "node", "n"), "members")
     found = materialize(_shared(prefixes), "found")
-    common = materialize(found.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi"), "common")
-    shared = materialize(found.join(common.select("token"), "token"), "shared")
-    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.count("*").alias("size")), "heads")
-
-    # each group meets, of the first and last groups of its shingles, the one it shares most of its prefix with
-    met = shared.join(common, "token").select("gid", F.explode(F.array("lo", "hi")).alias("star")).filter("gid <> star").groupBy("gid", "star").agg(F.count("*").alias("c"))
-    best = met.groupBy("gid").agg(F.max(F.struct("c", "star")).alias("m")).select("gid", F.col("m.star").alias("star"), F.col("m.c").alias("c"))
-    a = heads.select("gid", F.col("head").alias("x"), "n")
-    b = heads.select(F.col("gid").alias("star"), F.col("head").alias("y"))
-    stars = best.join(a, "gid").filter(F.col("c") * STAR_SHARE >= prefix_size_col("n", percent)).join(b, "star").select("x", "y")
+    common = materialize(found.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi").select("token"), "common")
+    shared = materialize(found.join(common, "token"), "shared")
+    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
+
     own = members.join(heads.filter("size > 1").select("gid", "head"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    links = materialize(verified(stars.union(own).distinct(), texts, words, percent), "stars")
+    alone = shared.join(heads.select("gid", F.col("head").alias("node"), F.col("head").alias("comp")), "gid")
+    links = materialize(verified(_stars(alone, 0, percent).union(own).distinct(), texts, words, percent), "stars")
     labels = components(links)
-
-    for k in range(ROUNDS):
-        named = _named(members, labels)
-        more = materialize(verified(_stars(_live(shared, named), k, percent), texts, words, percent), "stars")
+    for k in range(1, ROUNDS + 1):
+        more = materialize(verified(_stars(_live(shared, _named(members, labels)), k, percent), texts, words, percent), "stars")
         if not more.limit(1).count():
             break
         links = links.union(more)
@@ -396,41 +391,62 @@ def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _live(shared: DataFrame, named: DataFrame) -> DataFrame:
-    """(token, node, n, comp) of the shingles that more than one component has."""
-    part = materialize(shared.join(named, "gid").select("token", "node", "n", "comp"), "tokens")
+    """(token, gid, pos, n, node, comp) of the shingles that more than one component has.
+
+    A group's members in one component are one row; node is their smallest.
+    """
+    parts = named.groupBy("gid", "comp").agg(F.min("node").alias("node"))
+    part = materialize(shared.join(parts, "gid"), "tokens")
     split = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     return materialize(part.join(split, "token", "left_semi"), "live")
 
 
+def _need(n_x: str, n_y: str, percent: int):
+    """Least intersection of two sets of these sizes that are linked."""
+    return F.ceil(F.lit(percent) * (F.col(n_x) + F.col(n_y)) / (100 + percent))
+
+
+def _band(n: str, percent: int):
+    """Number of a size's band; the sizes of linked sets are in one band or in two that touch (a little wider, so that no rounding matters)."""
+    return F.floor(F.log(F.col(n).cast("double")) / (F.log(F.lit(100.0 / min(percent, 99))) * 1.0001)).cast("int")
+
+
 def _stars(live: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of a node and the stars of other components that it shares most shingles with.
 
-    Round k draws DRAWS stars a shingle, each the node with the least hash of
-    (node, draw); so a node meets at most DRAWS others a round, and others in
-    the next.
+    A shingle's stars of one band of sizes are the node that has it earliest in
+    its prefix (in round 0 only) and DRAWS nodes drawn by a hash of (node,
+    draw); they are met in their own band and in the next.
     """
-    draws = range(k * DRAWS, (k + 1) * DRAWS)
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(d)).alias("h"), F.col("node").alias("y"), F.col("comp").alias("c_y"))).alias(f"s{d}") for d in draws]
-    tops = materialize(live.groupBy("token").agg(*least), "tops")
-    met = live.join(tops, "token").select("node", "n", "comp", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"s{d}.y").alias("y"), F.col(f"s{d}.c_y").alias("c_y")) for d in draws])).alias("s"))
-    met = met.filter("comp <> s.c_y").groupBy("node", "n", "s.d", "s.y").agg(F.count("*").alias("c"))
-    best = met.groupBy("node", "n", "d").agg(F.max(F.struct("c", "y")).alias("m")).filter(F.col("m.c") * STAR_SHARE >= prefix_size_col("n", percent))
+    live = live.withColumn("band", _band("n", percent))
+    rank = {0: F.col("pos").cast("long")} if k == 0 else {}
+    rank |= {d: F.xxhash64("node", F.lit(d)) for d in range(k * DRAWS + 1, (k + 1) * DRAWS + 1)}
+    star = lambda by: F.min(F.struct(by.alias("by"), F.col("node").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_y"), F.col("pos").alias("p_y")))
+    tops = live.groupBy("token", "band").agg(*[star(by).alias(f"s{d}") for d, by in rank.items()])
+    tops = materialize(tops.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[f"s{d}" for d in rank]), "tops")
+    met = live.join(tops, ["token", "band"]).select("node", "n", "pos", "comp", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"s{d}").alias("s")) for d in rank])).alias("m"))
+    met = met.select("node", "n", "pos", "comp", "m.d", "m.s.*").filter("comp <> c_y").withColumn("_need", _need("n", "n_y", percent))
+    met = met.filter("n >= _need AND n_y >= _need").groupBy("node", "n", "d", "y").agg(F.count("*").alias("c"), F.max(F.expr("pos <= n - _need AND p_y <= n_y - _need")).alias("ok"))
+    best = met.filter("ok").groupBy("node", "n", "d").agg(F.max(F.struct("c", "y")).alias("m")).filter(F.col("m.c") * STAR_SHARE >= prefix_size_col("n", percent))
     return best.select(F.col("node").alias("x"), F.col("m.y").alias("y")).distinct()
 
 
 def _across(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that may reach the threshold.
 
-    If a pair's prefixes have c shingles in common, its sets have at most c plus
-    the longer rest behind a prefix; that and the sizes must allow the threshold.
+    Linked sets have a shingle in common that stands in both orders before the
+    last need - 1, need being the least intersection for their sizes. For the
+    smaller of the two sets that is a short piece of its prefix.
     """
-    live = _live(shared, named)
-    x, y = (live.select("token", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"c_{k}")) for k in "xy")
-    sizes = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
-    met = x.join(y, "token").filter((F.col("c_x") < F.col("c_y")) & sizes)
-    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-    need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
-    pairs = met.groupBy("x", "y", "n_x", "n_y").agg(F.count("*").alias("c")).filter(F.col("c") + F.greatest(rest("n_x"), rest("n_y")) >= need).select("x", "y")
+    live = _live(shared, named).select("token", "gid", "comp", "n", "pos").withColumn("band", _band("n", percent))
+    x, y = (live.select("token", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos")]) for k in "xy")
+    x = x.filter(F.col("pos_x") <= F.col("n_x") - _need("n_x", "n_x", percent)).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    need = _need("n_x", "n_y", percent)
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("comp_x") < F.col("comp_y")))
+    met = x.join(y, ["token", "band"]).filter((F.col("comp_x") != F.col("comp_y")) & once & (F.col("pos_x") <= F.col("n_x") - need) & (F.col("pos_y") <= F.col("n_y") - need))
+    pairs = materialize(met.select("gid_x", "comp_x", "gid_y", "comp_y").distinct(), "groups")
+    p, q = (named.select(F.col("gid").alias(f"gid_{k}"), F.col("comp").alias(f"comp_{k}"), F.col("node").alias(k)) for k in "xy")
+    pairs = pairs.join(p, ["gid_x", "comp_x"]).join(q, ["gid_y", "comp_y"]).select("x", "y")
     # members of one group share all of a prefix that no other group may have
     g = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gid")
     inner = named.join(g, "gid", "left_semi")
