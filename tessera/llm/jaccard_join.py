@@ -9,13 +9,13 @@ passages and lines that many documents share stay out of the prefixes.
 1. Equal sets become one class, named by its smallest doc_id.
 2. Classes with one prefix and one size become one group. Prefix shingles that
    only one group has are dropped at once.
-3. Star rounds: among the groups of one shingle and similar size, stars are
-   those in whose order it comes first (so the least edited of a group of near
-   copies) and some drawn by hash. A group meets the stars that it shares most
+3. Star round: among the groups of one shingle and similar size, stars are the
+   one in whose order it comes first (so the least edited of a group of near
+   copies) and some drawn by hash. A group meets the star that it shares most
    shingles with, a member of a group only the group's first. These pairs grow
    with the input, not with the square of a group of copies. They are verified
-   on the whole sets, and the links' components found. The rounds only save
-   work: whatever they leave unlinked is left to the next step.
+   on the whole sets, and the links' components found. The round only saves
+   work: whatever it leaves unlinked is left to the next step.
 4. What is left are pairs of different components. Their groups are joined on
    shingles that stand early enough in both orders for the pair's sizes, then
    expanded to members and verified. Pairs inside a component cannot change any
@@ -43,8 +43,8 @@ from .common import materialize, shuffle_parts
 WORDS, PERCENT = 5, 75
 #: Size of the table of shingle counts: bounded, whatever the corpus.
 TABLE, CHUNKS = 1 << 19, 64
-#: Further star rounds at most, and the stars by hash that a node meets in each.
-ROUNDS, DRAWS = 1, 2
+#: A shingle's stars drawn by hash, besides the one that has it earliest.
+DRAWS = 1
 #: A group meets a star only if it shares one in so many of its prefix shingles with it.
 STAR_SHARE = 6
 #: Bytes of ids or pairs that are broadcast at most; more are joined by a shuffle.
@@ -367,15 +367,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
 
     own = members.join(heads.filter("size > 1").select("gid", "head"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    alone = shared.join(heads.select("gid", F.col("head").alias("node"), F.col("head").alias("comp")), "gid")
-    links = materialize(verified(_stars(alone, 0, percent).union(own).distinct(), texts, words, percent), "stars")
+    alone = shared.join(heads.select("gid", F.col("head").alias("node")), "gid")
+    links = materialize(verified(_stars(alone, percent).union(own).distinct(), texts, words, percent), "stars")
     labels = components(links)
-    for k in range(1, ROUNDS + 1):
-        more = materialize(verified(_stars(_live(shared, _named(members, labels)), k, percent), texts, words, percent), "stars")
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        labels = components(links)
     named = _named(members, labels)
     late = materialize(verified(_across(shared, named, percent), texts, words, percent), "across")
     if late.limit(1).count():
@@ -411,24 +405,23 @@ def _band(n: str, percent: int):
     return F.floor(F.log(F.col(n).cast("double")) / (F.log(F.lit(100.0 / min(percent, 99))) * 1.0001)).cast("int")
 
 
-def _stars(live: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of a node and the stars of other components that it shares most shingles with.
+def _stars(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a node and, of the stars of its shingles, the one that it shares most shingles with.
 
-    A shingle's stars of one band of sizes are the node that has it earliest in
-    its prefix (in round 0 only) and DRAWS nodes drawn by a hash of (node,
-    draw); they are met in their own band and in the next.
+    ``heads``: (token, pos, n, node). A shingle's stars of one band of sizes are
+    the node that has it earliest in its prefix and DRAWS nodes drawn by a hash
+    of (node, draw); they are met in their own band and in the next.
     """
-    live = live.withColumn("band", _band("n", percent))
-    rank = {0: F.col("pos").cast("long")} if k == 0 else {}
-    rank |= {d: F.xxhash64("node", F.lit(d)) for d in range(k * DRAWS + 1, (k + 1) * DRAWS + 1)}
-    star = lambda by: F.min(F.struct(by.alias("by"), F.col("node").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_y"), F.col("pos").alias("p_y")))
-    tops = live.groupBy("token", "band").agg(*[star(by).alias(f"s{d}") for d, by in rank.items()])
-    tops = materialize(tops.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[f"s{d}" for d in rank]), "tops")
-    met = live.join(tops, ["token", "band"]).select("node", "n", "pos", "comp", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"s{d}").alias("s")) for d in rank])).alias("m"))
-    met = met.select("node", "n", "pos", "comp", "m.d", "m.s.*").filter("comp <> c_y").withColumn("_need", _need("n", "n_y", percent))
-    met = met.filter("n >= _need AND n_y >= _need").groupBy("node", "n", "d", "y").agg(F.count("*").alias("c"), F.max(F.expr("pos <= n - _need AND p_y <= n_y - _need")).alias("ok"))
-    best = met.filter("ok").groupBy("node", "n", "d").agg(F.max(F.struct("c", "y")).alias("m")).filter(F.col("m.c") * STAR_SHARE >= prefix_size_col("n", percent))
-    return best.select(F.col("node").alias("x"), F.col("m.y").alias("y")).distinct()
+    live = heads.select("token", "node", "n", "pos", _band("n", percent).alias("band"))
+    rank = [F.col("pos").cast("long"), *[F.xxhash64("node", F.lit(d)) for d in range(DRAWS)]]
+    tops = live.groupBy("token", "band").agg(*[F.min(F.struct(by.alias("by"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("p_y"))).alias(f"s{d}") for d, by in enumerate(rank)])
+    stars = F.array_distinct(F.array(*[F.struct(*[F.col(f"s{d}.{c}").alias(c) for c in ("y", "n_y", "p_y")]) for d in range(len(rank))]))
+    tops = tops.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), stars.alias("stars"))
+    met = live.join(tops, ["token", "band"]).select("node", "n", "pos", F.explode("stars").alias("s")).select("node", "n", "pos", "s.*")
+    met = met.filter("node <> y").withColumn("_need", _need("n", "n_y", percent)).filter("n >= _need AND n_y >= _need")
+    met = met.groupBy("node", "n", "y").agg(F.count("*").alias("c"), F.max(F.expr("pos <= n - _need AND p_y <= n_y - _need")).alias("ok"))
+    best = met.filter("ok").groupBy("node", "n").agg(F.max(F.struct("c", "y")).alias("m")).filter(F.col("m.c") * STAR_SHARE >= prefix_size_col("n", percent))
+    return best.select(F.col("node").alias("x"), F.col("m.y").alias("y"))
 
 
 def _across(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
