@@ -29,7 +29,7 @@ folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -117,7 +117,13 @@ def _long_set(raw: bytes, words: int) -> np.ndarray:
     return _distinct(_shingles(w, min(words, len(w))) + np.uint64(min(words, len(w)))) if len(w) else w
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, few of them as Python strings at once."""
+    for at in range(0, len(texts), 128):
+        yield from texts.slice(at, 128).to_pylist()
+
+
+def shingle_sets(texts: Iterable[str | None], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(all sets' shingle hashes, ends of the sets) of successive texts, a block of texts at a time.
 
     A set is sorted and distinct. Fewer words: their sequence as one shingle; no
@@ -183,7 +189,7 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
         counts, waiting = np.zeros(TABLE, np.int64), []
         for b in batches:
             n, x, y = [], [], []
-            for flat, ends in shingle_sets(b.column(1).to_pylist(), words):
+            for flat, ends in shingle_sets(_slices(b.column(1)), words):
                 waiting.append(_slot(flat))
                 if sum(map(len, waiting)) > TABLE:
                     counts += np.bincount(np.concatenate(waiting), minlength=TABLE)
@@ -232,7 +238,7 @@ def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            for flat, ends in shingle_sets(batch.column(1).to_pylist(), words):
+            for flat, ends in shingle_sets(_slices(batch.column(1)), words):
                 a, b = _signatures(flat, ends)
                 weight = counts[_slot(flat)]
                 firsts, rows, start = [], [], 0
@@ -254,20 +260,20 @@ def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) ->
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """(token, gid, pos, n) of prefix shingles that more than one group has; pos: place in the prefix.
+    """(token, gid, pos) of prefix shingles that more than one group has; pos: place in the prefix.
 
     The rows are sorted by (token, gid) over all partitions, so even one shingle
     in a third of all prefixes is dealt to many tasks, and each row looks at its
     neighbours. At a partition's two ends the neighbour isn't seen: such rows
-    are kept, and what turns out to be alone is dropped by the joins.
+    are kept; what turns out to be alone meets nothing later.
     """
-    pairs = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "gid", F.col("n").cast("int").alias("n")).select("token", "gid", "pos", "n")
+    pairs = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "gid").select("token", "gid", "pos")
     parts = shuffle_parts(prefixes.sparkSession)
     ordered = pairs.repartitionByRange(parts, "token", "gid").sortWithinPartitions("token", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of the token at a batch's end wait for the next batch, two at least: a first and a second group
-        names, waiting, first = ["token", "gid", "pos", "n"], None, None
+        names, waiting, first = ["token", "gid", "pos"], None, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -291,7 +297,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         if waiting:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting], names)
 
-    return ordered.mapInArrow(run, "token long, gid long, pos int, n int")
+    return ordered.mapInArrow(run, "token long, gid long, pos int")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -300,7 +306,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for flat, ends in shingle_sets(b.column(1).to_pylist(), words):
+            for flat, ends in shingle_sets(_slices(b.column(1)), words):
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), listed], ["node", "shingles"])
                 at += len(ends)
@@ -361,13 +367,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     prefixes = materialize(_prefixes(texts, _table(survey), words, percent), "prefixes")
     # a class may have come from several tasks; its node is one
     members = materialize(prefixes.select("a", "b", "n", "gid").distinct().join(classes, ["a", "b", "n"]).select("gid", "node", "n"), "members")
-    found = materialize(_shared(prefixes), "found")
-    common = materialize(found.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo < hi").select("token"), "common")
-    shared = materialize(found.join(common, "token"), "shared")
-    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
+    shared = materialize(_shared(prefixes), "shared")
+    heads = materialize(members.groupBy("gid").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.count("*").alias("size")), "heads")
 
     own = members.join(heads.filter("size > 1").select("gid", "head"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    alone = shared.join(heads.select("gid", F.col("head").alias("node")), "gid")
+    alone = shared.join(heads.select("gid", "n", F.col("head").alias("node")), "gid")
     links = materialize(verified(_stars(alone, percent).union(own).distinct(), texts, words, percent), "stars")
     labels = components(links)
     named = _named(members, labels)
@@ -385,11 +389,11 @@ def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _live(shared: DataFrame, named: DataFrame) -> DataFrame:
-    """(token, gid, pos, n, node, comp) of the shingles that more than one component has.
+    """(token, gid, pos, n, comp) of the shingles that more than one component has.
 
-    A group's members in one component are one row; node is their smallest.
+    A group's members in one component are one row.
     """
-    parts = named.groupBy("gid", "comp").agg(F.min("node").alias("node"))
+    parts = named.groupBy("gid", "comp").agg(F.first("n").alias("n"))
     part = materialize(shared.join(parts, "gid"), "tokens")
     split = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     return materialize(part.join(split, "token", "left_semi"), "live")
