@@ -18,8 +18,9 @@ passages and lines that many documents share stay out of the prefixes.
    work: whatever it leaves unlinked is left to the next step.
 4. What is left are pairs of different components. Their groups are joined on
    shingles that stand early enough in both orders for the pair's sizes, then
-   expanded to members and verified. Pairs inside a component cannot change any
-   class and are never formed.
+   expanded to members. Pairs whose parity sketches differ in more bits than
+   linked sets can differ in members go; the others are verified. Pairs inside
+   a component cannot change any class and are never formed.
 
 So no link between different texts is lost, and no bucket is expanded into all
 its pairs. Shingle sets are computed in Arrow batches; joins, counts and
@@ -47,6 +48,8 @@ TABLE, CHUNKS = 1 << 19, 64
 DRAWS = 1
 #: A group meets a star only if it shares one in so many of its prefix shingles with it.
 STAR_SHARE = 6
+#: Longs of a set's parity sketch.
+SKETCH = 8
 #: Bytes of ids or pairs that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 8 << 20
 #: Bytes of text hashed at once.
@@ -178,17 +181,32 @@ def _signatures(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def _parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SKETCH longs of each sorted set: a bit is set if an odd number of members fall on it.
+
+    A member flips one bit, so the sketches of two sets differ in no more bits
+    than the sets differ in members.
+    """
+    sizes = np.diff(ends, prepend=0)
+    flips = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << ((flat >> np.uint64(55)) & np.uint64(63)))))
+    at = np.repeat(np.arange(len(ends)) * SKETCH, sizes) + (flat >> np.uint64(61)).astype(np.int64)
+    upto = flips[np.cumsum(np.bincount(at, minlength=SKETCH * len(ends)))]
+    out = upto.copy()
+    out[1:] ^= upto[:-1]
+    return out.view(np.int64).reshape(-1, SKETCH)
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (TABLE - 1)
 
 
 def _survey(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, n, a, b) of all documents, and each task's shingle counts as rows (chunk, task, counts)."""
+    """Rows (doc_id, n, a, b, p0, p1, ...) of all documents, p being the sketch, and each task's shingle counts as rows (chunk, task, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting = np.zeros(TABLE, np.int64), []
         for b in batches:
-            n, x, y = [], [], []
+            n, x, y, sketch = [], [], [], [np.zeros((0, SKETCH), np.int64)]
             for flat, ends in shingle_sets(_slices(b.column(1)), words):
                 waiting.append(_slot(flat))
                 if sum(map(len, waiting)) > TABLE:
@@ -198,18 +216,20 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
                 n.append(np.diff(ends, prepend=0))
                 x.append(p)
                 y.append(q)
+                sketch.append(_parities(flat, ends))
             k = b.num_rows
             if k:
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(c)) for c in (n, x, y)], pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(c)) for c in (n, x, y)], *[pa.array(c) for c in np.concatenate(sketch).T.copy()], pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         for w in waiting:
             counts += np.bincount(w, minlength=TABLE)
         task, part = TaskContext.get().partitionId(), TABLE // CHUNKS
         for c in range(CHUNKS):
             if (own := counts[c * part : (c + 1) * part]).any():
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([c], pa.int32()), pa.array([task], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + SKETCH), pa.array([c], pa.int32()), pa.array([task], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
 
-    names = ["doc_id", "n", "a", "b", "chunk", "task", "counts"]
-    return texts.mapInArrow(run, "doc_id long, n long, a long, b long, chunk int, task int, counts binary")
+    longs = ["doc_id", "n", "a", "b", *[f"p{i}" for i in range(SKETCH)]]
+    names = [*longs, "chunk", "task", "counts"]
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in longs) + ", chunk int, task int, counts binary")
 
 
 def _table(survey: DataFrame) -> np.ndarray:
@@ -319,6 +339,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 16 <= BROADCAST else df
 
 
+def _close(pairs: DataFrame, survey: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sketches differ in no more bits than linked sets of their sizes may.
+
+    No link is lost. A row of ``survey`` for each repeated doc_id is met.
+    """
+    bits = [f"p{i}" for i in range(SKETCH)]
+    x, y = (survey.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *bits)]) for k in "xy")
+    met = x.join(_small(materialize(pairs, "candidates")), "x").join(y, "y")
+    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in bits), F.lit(0))
+    return met.filter(differ <= F.col("n_x") + F.col("n_y") - 2 * _need("n_x", "n_y", percent)).select("x", "y").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) of documents whose sets have 100 * intersection >= percent * union.
 
@@ -372,10 +404,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     own = members.join(heads.filter("size > 1").select("gid", "head"), "gid").filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
     alone = shared.join(heads.select("gid", "n", F.col("head").alias("node")), "gid")
-    links = materialize(verified(_stars(alone, percent).union(own).distinct(), texts, words, percent), "stars")
+    sketched = survey.filter("chunk IS NULL")
+    links = materialize(verified(_close(_stars(alone, percent).union(own), sketched, percent), texts, words, percent), "stars")
     labels = components(links)
     named = _named(members, labels)
-    late = materialize(verified(_across(shared, named, percent), texts, words, percent), "across")
+    late = materialize(verified(_close(_across(shared, named, percent), sketched, percent), texts, words, percent), "across")
     if late.limit(1).count():
         labels = components(links.union(late))
     final = classes.join(labels, "node", "left").select("a", "b", "n", F.coalesce("comp", "node").alias("comp"))
@@ -457,7 +490,7 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFra
 
     Of repeated rows with that doc_id one stays.
     """
-    out = near_duplicates(docs, doc_id=doc_id, **options)
-    stay = out.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
+    out = materialize(near_duplicates(docs, doc_id=doc_id, **options), "classes-out")
+    gone = out.groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("component_id").alias("last")).filter(F.col("last") < F.col(doc_id)).select(doc_id)
+    kept = docs.join(_small(gone), doc_id, "left_anti")
     return kept.dropDuplicates([doc_id]) if out.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count() else kept
