@@ -123,7 +123,7 @@ def pagerank_stored_3(s, d):
 
 
 def pagerank_tol(s, d):
-    return _rank(R.pagerank(part_supplier(s, d, True), 60, tol=1e-4))
+    return _rank(R.pagerank(part_supplier(s, d), 60, tol=1e-4))
 
 
 def pagerank_grid_blocks(s, d):
@@ -186,16 +186,16 @@ def cut_after_best_swap(s, d):
 
 
 def refine_partition(s, d):
-    e = part_supplier(s, d, True)
+    e = part_supplier(s, d)
     return _long(P.refine(e, P.initial_parts(e, PARTS), PARTS))
 
 
 def multilevel_partition(s, d):
-    return _long(P.multilevel(part_supplier(s, d, True), PARTS))
+    return _long(P.multilevel(part_supplier(s, d), PARTS))
 
 
 def refine_then_rank(s, d):
-    r = P.refine_then_rank(part_supplier(s, d, True), PARTS)
+    r = P.refine_then_rank(part_supplier(s, d), PARTS)
     return _long(r.select("vertex", "part", F.round("rank", 6).alias("rank")))
 
 
