@@ -71,14 +71,14 @@ def _time_of(share, slope):
 
 
 def curriculum(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position), not yet sorted.
+    """(doc_id, size, source_size, target, taken, position, positions), not yet sorted.
 
     A source's stream repeats its documents in hash order until its target is
     reached: ``taken`` is size times the whole passes, and in the last pass the
     documents up to the demand, the one on the border in part. So a source's
     taken words are its target rounded down, and none exceeds 3 times its size.
-    ``position``: the time of the first copy in training, null where nothing
-    is taken. A null source is a source, sorted last; null or wordless texts have
+    ``positions``: the time of each copy in training, ``position`` that of the
+    first; both null where nothing is taken. A null source is a source, sorted last; null or wordless texts have
     size 0 and take nothing; repeated rows are documents of their own, ordered by
     (hash, doc_id, text hash); rows equal in all of these are alike in all but
     the split between them.
@@ -101,8 +101,11 @@ def curriculum(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     d = d.withColumn("_words", words).withColumn("_passes", passes)
     rest = F.col("_words") - F.col("_passes") * F.col("source_size") - F.col("before")
     d = d.withColumn("taken", F.col("_passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest)))
-    at = F.least(F.col("before") / F.greatest(F.col("_words"), F.lit(1)), F.lit(1.0))
-    return d.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _time_of(at, F.col("slope"))).alias("position"), F.col("th").alias("text_hash"), "source", "before")
+    # copy c starts c - 1 whole passes of the source after the first one
+    copies = F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")
+    place = lambda c: F.least((F.col("before") + (c - 1) * F.col("source_size")) / F.greatest(F.col("_words"), F.lit(1)), F.lit(1.0))
+    d = d.withColumn("positions", F.when(F.col("taken") > 0, F.transform(copies, lambda c: _time_of(place(c), F.col("slope")))))
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions", F.col("th").alias("text_hash"), "source", "before")
 
 
 def mix(docs: DataFrame, **columns: str) -> DataFrame:
@@ -112,22 +115,23 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by position.
+    """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by each copy's own position.
 
     A document taken in part appears, in its last copy, with its text up to the
     last word taken. All columns are kept.
     """
     plan = curriculum(docs, doc_id=doc_id, text=text, source=source).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_src"), "size", "taken", "position", "before")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_src"), "size", "taken", "positions", "before")
     # repeated rows pair off by number: they are alike, so which gets which part doesn't matter
     plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th", "_src").orderBy("before")))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(source).alias("src"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "th", "src").orderBy("th")))
     j = rows.join(plan, rows["id"].eqNullSafe(plan["_id"]) & (rows["th"] == plan["_th"]) & rows["src"].eqNullSafe(plan["_src"]) & (rows["n"] == plan["_n"]))
-    j = j.select("row", F.col(f"row.`{text}`").alias("t"), "position", "size", "taken", F.explode(F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")).alias("copy"))
+    j = j.select("row", F.col(f"row.`{text}`").alias("t"), "size", "taken", F.posexplode("positions").alias("_k", "position"))
+    j = j.withColumn("copy", F.col("_k") + 1)
     part = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     cut = F.expr(f"array_join(slice(regexp_extract_all(t, '[{SPACE_SQL}]*[^{SPACE_SQL}]+', 0), 1, CAST(taken - (copy - 1) * size AS INT)), '')")
     body = F.when(part < F.col("size"), cut).otherwise(F.col("t"))
     keep = {text: body, **({"n_chars": F.length(body).cast("long")} if "n_chars" in docs.columns else {})}
-    out = j.select(*[keep[c].alias(c) if c in keep else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.struct("copy", "position").alias("_at"))
+    out = j.select(*[keep[c].alias(c) if c in keep else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("position").alias("_at"))
     return out.orderBy("_at").drop("_at")

@@ -323,3 +323,35 @@ def test_mix(spark, edge, docs):
         assert got.columns == df.columns
         assert sum(len(words(r["text"])) for r in got.collect()) == sum(taken.values())
     assert mix.mix(edge.limit(0)).count() == 0 and mix.mixed_documents(edge.limit(0)).count() == 0
+
+
+def demand_time(share, slope):
+    """The t at which the integral of 1 + slope * (2 t - 1) is ``share``, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if t * (1 - slope) + slope * t * t < share else (low, t)
+    return low
+
+
+def test_mix_places_every_copy(spark):
+    data = [(i, f"{'abc'[i % 3]}{i} " + "w " * (i % 7), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    of, slopes = {i: s for i, _, s in data}, {"a": -0.5, "b": 0.0, "c": 0.5}
+    out = [r for r in mix.mix(df).collect() if r["taken"]]
+    want = []
+    for s in "abc":
+        before, mine = 0, sorted((r for r in out if of[r["doc_id"]] == s), key=lambda r: r["position"])
+        for r in mine:
+            places = [before + k * r["source_size"] for k in range(-(-r["taken"] // r["size"]))]
+            times = [demand_time(p / int(r["target"]), slopes[s]) for p in places]
+            assert len(r["positions"]) == len(times) and all(abs(x - y) < 1e-6 for x, y in zip(r["positions"], times, strict=True))
+            want += [(t, r["doc_id"]) for t in times]
+            before += r["size"]
+    assert any(len(r["positions"]) > 1 for r in out)
+    got = [r["doc_id"] for r in mix.mixed_documents(df).collect()]
+    when = defaultdict(list)
+    for t, i in sorted(want):
+        when[i].append(t)
+    times = [when[i].pop(0) for i in got]
+    assert len(got) == len(want) and all(x <= y + 1e-6 for x, y in zip(times, times[1:]))
