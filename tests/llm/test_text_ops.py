@@ -159,6 +159,22 @@ def test_pseudonyms(spark, edge, docs):
             assert (c not in changed[r["doc_id"]]) == luhn(c)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111111111111111", "378282246310005"
+    four = "4111 1111 1111 1111"
+    texts = [f"card {four} 12/26", f"{four} 123.", f"order 12 {card} ok", f"1226 {four}", f"123456 {four} 77", f"12-{four.replace(' ', '-')}-345", f"{four} 5500 0000 0000 0004", f"9 3782 822463 10005 1234", f"{amex} {card}", f"{four} 2024-01-05", f"{four} 555-123-4567", f"77 41111111 11111111 123", "1 2 " * 3000, f"{four} 12-x", "1" * 5000]
+    texts += [f"{n} {four} {k}" for n in range(0, 9999, 700) for k in (1, 26, 123, 2031)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).cache()
+    hidden = pii.pseudonymize(df).cache()
+    out = {r["doc_id"]: r["text"] for r in hidden.collect()}
+    alone = pii.pseudonymize(spark.createDataFrame([(0, card)], "doc_id long, text string")).first()["text"]
+    for i, t in enumerate(texts):
+        assert len(out[i]) == len(t) and not any(c in re.sub("[ -]", "", out[i]) for c in (card, amex)), t
+    linked = [alone in re.sub("[ -]", "", out[i]) for i in (0, 1, 2, 8, 9, 10)]
+    assert all(linked) and "2024-01-05" not in out[9] and "555-123-4567" not in out[10] and out[0].endswith(" 12/26")
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymize(hidden, inverse=True).collect()} == dict(enumerate(texts))
+
+
 def test_dates_permute(spark):
     days = spark.range(73049).selectExpr("id AS doc_id", "date_format(date_add(DATE'1900-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text")
     out = pii.pseudonymize(days.filter("doc_id % 11 = 0"))
