@@ -24,8 +24,8 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled URLs: a page's url ends in a document's number, and ``labels`` judges that document."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    number = F.regexp_extract("url", "://[^/?#]*/[a-z]+/([0-9]{1,18})(?:[/.?#]|$)", 1)
-    named = pages.select("url", F.expr("try_cast(n AS BIGINT)").alias("doc_id")) if "n" in pages.columns else pages.select("url", number.alias("n")).select("url", F.expr("try_cast(n AS BIGINT)").alias("doc_id"))
+    number = F.regexp_extract(F.col("url"), "://[^/?#]*/[a-z]+/([0-9]{1,18})(?:[/.?#]|$)", 1)
+    named = pages.select("url", number.try_cast("long").alias("doc_id"))
     judged = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block"))
     weights = url_filter.train(named.join(judged, "doc_id"))
     return url_filter.judge(pages, weights)

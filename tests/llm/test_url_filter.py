@@ -60,3 +60,11 @@ def test_model_learns_held_out_urls(spark):
     w = url_filter.train(spark.createDataFrame(rows[:400], "url string, block boolean"))
     out = url_filter.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows[400:])], "page_id long, url string"), w).collect()
     assert sum((r["verdict"] == "block") == rows[400 + r["page_id"]][1] for r in out) > 195
+
+
+def test_query_ignores_a_column_named_n(spark, sf, tmp_path):
+    pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
+    pages.selectExpr("*", "'x' AS n", "-1 AS number").write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = lambda d: {r["page_id"]: (r["verdict"], round(r["block_score"], 6)) for r in queries.op3_url_filter(spark, str(d)).collect()}
+    assert scores(tmp_path) == scores(sf)
