@@ -36,7 +36,7 @@ PATTERNS = {
 PATTERNS["card"] = r"(?<![\d-])(?=\d(?:[ -]?\d){12})\d(?:(?:[ -](?!" + "|".join(PATTERNS.values()) + r"))?\d){12,}+-?"
 #: Usual groupings of a card's digits, besides a single group.
 GROUPINGS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
-#: Turns of the walk in ``_cards``; one more is needed in less than half of the cases where any is.
+#: Turns of the walk in ``_cards`` at most; a run whose walk hasn't ended by then stays as it is.
 WALK = 64
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 17 * 4,297.
 DAY_RADICES = (17, 4297)
@@ -90,6 +90,7 @@ def _cards(m: str, key: str, inverse: bool) -> str:
     longest from the run's start, each the longest first. None overlaps an
     earlier one. What is chosen must be chosen again in the result for the
     inverse to find it, so the permutation is repeated until it is.
+    A card that overlaps another candidate may so get another pseudonym than alone.
     """
     usual = " OR ".join(f"sl = array({', '.join(map(str, x))})" for x in GROUPINGS)
     first = "ci = 0 AND (get(ln, ck) IS NULL OR aggregate(sl, 0, (x, y) -> x + y) + get(ln, ck) > 19)"
