@@ -42,11 +42,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder of
-    this machine is taken, and the session is told of it.
+    Only where the session names none and runs in this one process (tests, local
+    mode) a temporary folder of this machine is taken, and the session is told of
+    it. On a cluster that would lose data, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,15 +74,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this process (their readers must be done)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
-        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, _written.pop())
 
 
 @atexit.register
