@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shuffle_parts
+from .common import mapped, scratch, shuffle_parts
 from .tokens import default_path, encoder
 
 MAGIC = b"TBPL0001"
@@ -153,7 +153,7 @@ def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(writer.docs)], "ids": [n]})
 
-    found = rows.mapInArrow(run, "part long, name string, docs long, ids long").collect()
+    found = mapped(rows, run, "part long, name string, docs long, ids long").collect()
     return [(f"{folder}/{r['name']}", r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["part"])]
 
 
@@ -180,7 +180,7 @@ def read_ids(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFram
                         yield _batch(out)
 
     named = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
-    return named.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(named, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch, ship_package  # noqa: F401
+from ..session import discard, materialize, scratch, ship_package  # noqa: F401
 
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -17,6 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with the package on the executors and the worker's memory given back.
+
+    A Python worker outlives its task and serves other stages; what a task's
+    caches and batches took would stay with it.
+    """
+    ship_package(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    """Give free memory of this process back to the system: Arrow's pool and the C heap (glibc; elsewhere the latter is left out)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

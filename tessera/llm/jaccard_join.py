@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_parts
+from .common import discard, exclusive_prefix, mapped, materialize, range_ordered, shuffle_parts
 
 WORDS, PERCENT = 5, 75
 #: Size of the table of shingle counts: bounded, whatever the corpus.
@@ -72,35 +72,46 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @cache
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
+def _powers(base: int) -> np.ndarray:
+    p = np.full(BLOCK + 1, base, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of lower-cased ``raw``, all at once."""
+def _word_sums(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, sum, length) of each word of at most BLOCK lower-cased bytes; the sum is of the word's byte numbers times powers of the base."""
     b = np.frombuffer(raw, np.uint8)
     space = _SPACE[b]
     edge = np.nonzero(np.diff(space, prepend=True, append=True))[0]
     start, end = edge[::2], edge[1::2]
-    # sums of byte numbers times powers of the base; a word's sum is scaled back to its own start
-    n = max(BLOCK, len(b)) + 1
+    # a word's share of the running sum is scaled back to its own start
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTES[b] * _powers(int(_BASE), n)[: len(b)], out=sums[1:])
-    h = (sums[end] - sums[start]) * _powers(pow(int(_BASE), -1, 1 << 64), n)[start]
-    return start, _mix(h + (end - start).astype(np.uint64))
+    np.cumsum(_BYTES[b] * _powers(int(_BASE))[: len(b)], out=sums[1:])
+    h = (sums[end] - sums[start]) * _powers(pow(int(_BASE), -1, 1 << 64))[start]
+    return start, h, (end - start).astype(np.uint64)
 
 
-def _blocks(raw: bytes) -> Iterator[bytes]:
-    """``raw`` cut at white space into blocks of about BLOCK bytes."""
-    at = 0
-    while at < len(raw):
-        end = at + BLOCK
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        yield raw[at:end]
-        at = end
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of at most BLOCK lower-cased bytes."""
+    start, h, n = _word_sums(raw)
+    return start, _mix(h + n)
+
+
+def _long_hashes(raw: bytes) -> Iterator[np.ndarray]:
+    """The word hashes of a text of any length, and with words of any length, a block at a time."""
+    part, size = 0, 0  # of the word that the blocks so far left open
+    for at in range(0, len(raw), BLOCK):
+        block = raw[at : at + BLOCK]
+        start, h, n = _word_sums(block)
+        if size and len(start) and start[0] == 0:
+            h[0] = (part + int(h[0]) * pow(int(_BASE), size, 1 << 64)) % (1 << 64)
+            n[0] += np.uint64(size)
+        elif size:
+            yield _mix(np.array([(part + size) % (1 << 64)], np.uint64))
+        part, size = (int(h[-1]), int(n[-1])) if len(h) and not _SPACE[block[-1]] else (0, 0)
+        yield _mix((h + n)[: -1 if size else None])
+    if size:
+        yield _mix(np.array([(part + size) % (1 << 64)], np.uint64))
 
 
 def _shingles(w: np.ndarray, words: int) -> np.ndarray:
@@ -116,7 +127,7 @@ def _distinct(h: np.ndarray) -> np.ndarray:
 
 
 def _long_set(raw: bytes, words: int) -> np.ndarray:
-    w = np.concatenate([np.zeros(0, np.uint64), *(_word_hashes(x)[1] for x in _blocks(raw))])
+    w = np.concatenate([np.zeros(0, np.uint64), *_long_hashes(raw)])
     return _distinct(_shingles(w, min(words, len(w))) + np.uint64(min(words, len(w)))) if len(w) else w
 
 
@@ -229,7 +240,7 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
 
     longs = ["doc_id", "n", "a", "b", *[f"p{i}" for i in range(SKETCH)]]
     names = [*longs, "chunk", "task", "counts"]
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in longs) + ", chunk int, task int, counts binary")
+    return mapped(texts, run, ", ".join(f"{c} long" for c in longs) + ", chunk int, task int, counts binary")
 
 
 def _table(survey: DataFrame) -> np.ndarray:
@@ -276,7 +287,7 @@ def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) ->
                     listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(every.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n), pa.array(g), listed], ["a", "b", "n", "gid", "prefix"])
 
-    return texts.mapInArrow(run, "a long, b long, n long, gid long, prefix array<long>")
+    return mapped(texts, run, "a long, b long, n long, gid long, prefix array<long>")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -317,7 +328,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         if waiting:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting], names)
 
-    return ordered.mapInArrow(run, "token long, gid long, pos int")
+    return mapped(ordered, run, "token long, gid long, pos int")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -331,7 +342,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), listed], ["node", "shingles"])
                 at += len(ends)
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return mapped(texts, run, "node long, shingles array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -390,7 +401,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     component_id: the smallest doc_id reachable over links between sets of at
     least ``percent`` / 100 Jaccard similarity. A null, empty or blank text has
     an empty set and is linked with nothing. Equal texts are linked; so are
-    repeated rows, which keep a row each. doc_id must be a non-null integer.
+    repeated rows, which keep a row each. Rows that share a doc_id are one node
+    of the links, whatever their texts (``keep_first`` tells them apart). A null
+    doc_id is no node: such a row has its class's smallest doc_id, or null. Very
+    long texts are hashed a block at a time; one set is in memory at once.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     survey = materialize(_survey(texts, words), "survey")
@@ -485,12 +499,25 @@ def _across(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     return pairs.union(inside).distinct()
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with its smallest doc_id.
 
-    Of repeated rows with that doc_id one stays.
+    Documents without shingles all stay. Where doc_ids are null or repeated, rows
+    are told apart by a number in the order of (doc_id, hash of the text), so
+    two texts under one doc_id are two documents, and of repeated rows one stays.
     """
-    out = materialize(near_duplicates(docs, doc_id=doc_id, **options), "classes-out")
-    gone = out.groupBy(F.col("doc_id").alias(doc_id)).agg(F.max("component_id").alias("last")).filter(F.col("last") < F.col(doc_id)).select(doc_id)
-    kept = docs.join(_small(gone), doc_id, "left_anti")
-    return kept.dropDuplicates([doc_id]) if out.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count() else kept
+    ids = docs.groupBy(F.col(doc_id).alias("d")).count().filter("d IS NULL OR count > 1")
+    if ids.limit(1).count():
+        cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+        rows = docs.select(*cols, F.col(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_h"), F.lit(1).cast("long").alias("_one"))
+        key = [F.col("_d").asc_nulls_last(), F.col("_h")]
+        rows = materialize(exclusive_prefix(range_ordered(rows, *key, label="rows"), "_part", key, "_one", "_row"), "numbered")
+        kept = _kept(rows, "_row", f"_c{docs.columns.index(text)}", options)
+        return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return _kept(docs, doc_id, text, options)
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
+    out = materialize(near_duplicates(docs, doc_id=doc_id, text=text, **options), "classes-out")
+    gone = out.filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id))
+    return docs.join(_small(gone), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

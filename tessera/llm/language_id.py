@@ -22,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 BUCKETS = 1 << 16
+#: Characters of a text that are counted at once.
+BLOCK = 1 << 18
 #: Expected number of labelled rows a language that a model is learnt from.
 SAMPLE_PER_LANG = 4000
 #: Least proportion of a language in a document's set.
@@ -36,21 +40,34 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def trigrams(text: str) -> tuple[np.ndarray, int]:
-    """(bucket of each trigram, number of letters) of the lower-cased text.
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """(buckets of the trigrams, how often each stands or null for once, number of letters) of the lower-cased text.
 
-    Runs of anything but letters count as one bound; so do the text's ends.
+    Runs of anything but letters count as one bound; so do the text's ends. A
+    text longer than BLOCK is counted a block at a time.
     """
+    if len(text) <= BLOCK:
+        h, _, n = _grams(text, np.zeros(1, np.uint32), True)
+        return (h, None, n) if n else (h[:0], None, 0)
+    counts, letters, tail = np.zeros(BUCKETS, np.int64), 0, np.zeros(1, np.uint32)
+    for at in range(0, len(text), BLOCK):
+        h, tail, n = _grams(text[at : at + BLOCK], tail, at + BLOCK >= len(text))
+        counts += np.bincount(h, minlength=BUCKETS)
+        letters += n
+    seen = np.nonzero(counts)[0] if letters else np.zeros(0, np.int64)
+    return seen, counts[seen], letters
+
+
+def _grams(text: str, tail: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bucket of each trigram, the two characters that the next block goes on from, number of letters) of a block after ``tail``."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     c = np.where(_letters()[c], c, 0)
     n = int(np.count_nonzero(c))
-    if not n:
-        return np.zeros(0, np.int64), 0
-    c = np.concatenate(([0], c, [0])).astype(np.uint32)
+    c = np.concatenate((tail, c, [0] if last else [])).astype(np.uint32)
     c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
     h = c[:-2] * np.uint32(2654435761) ^ c[1:-1] * np.uint32(2246822519) ^ c[2:] * np.uint32(3266489917)
     h ^= h >> np.uint32(15)
-    return (h * np.uint32(668265263) >> np.uint32(16)).astype(np.int64), n
+    return (h * np.uint32(668265263) >> np.uint32(16)).astype(np.int64), c[-2:], n
 
 
 @dataclass
@@ -78,14 +95,15 @@ def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
         seen: dict[str, np.ndarray] = {}
         for b in batches:
             for t, x in zip(b.column(0), b.column(1), strict=True):
-                if len(g := trigrams(t.as_py())[0]):
+                g, times, n = trigrams(t.as_py())
+                if n:
                     k = x.as_py()
-                    seen[k] = seen.get(k, 0) + np.bincount(g, minlength=BUCKETS)
+                    seen[k] = seen.get(k, 0) + np.bincount(g, times, minlength=BUCKETS).astype(np.int64)
         for k, v in seen.items():
             at = np.nonzero(v)[0]
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = mapped(rows.select("text", "lang"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     c = np.zeros((len(langs), BUCKETS))
     for i, k in enumerate(langs):
@@ -95,37 +113,47 @@ def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     return Model(langs, np.log(c / c.sum(1, keepdims=True)) if langs else c)
 
 
-def _em(p: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Proportions of the mixture of the rows of ``p`` (languages x trigrams)."""
-    pi = np.full(len(p), 1 / len(p))
-    for _ in range(rounds):
+def _em(p: np.ndarray, times: np.ndarray | None) -> np.ndarray:
+    """Proportions of the mixture of the rows of ``p`` (languages x trigrams, each standing ``times``).
+
+    The likelihood is concave in the proportions and no round lowers it, so the
+    rounds end; they do once none moves by a thousandth, or once all but one
+    language are far below the least share.
+    """
+    pi, n = np.full(len(p), 1 / len(p)), p.shape[1] if times is None else times.sum()
+    while True:
         w = pi[:, None] * p
         w /= w.sum(0)
-        new = w.mean(1)
+        new = (w.sum(1) if times is None else (w * times).sum(1)) / n
         done = np.abs(new - pi).max() < 1e-3 or np.sort(new)[-2] < LEAST_SHARE / 2
         pi = new
-        if done:  # also once all but one language are far below the least share
-            break
-    return pi
+        if done:
+            return pi
 
 
-def infer(model: Model, grams: np.ndarray) -> list[tuple[str, float]]:
-    """The chosen languages and their proportions, largest first (ties by name)."""
+def infer(model: Model, grams: np.ndarray, times: np.ndarray | None = None) -> list[tuple[str, float]]:
+    """The chosen languages and their proportions, largest first (ties by name).
+
+    The best single language comes first; the others are tried in the order of
+    their proportions among all, and one that isn't worth its penalty is passed
+    over.
+    """
     if len(model.langs) == 1:
         return [(model.langs[0], 1.0)]
-    alone = model.log_t[grams].sum(0, dtype=np.float64)
+    each = 1 if times is None else times[:, None]
+    alone = (model.log_t[grams] * each).sum(0, dtype=np.float64)
     chosen, pi, fit = [int(alone.argmax())], np.ones(1), float(alone.max())
     p = np.ascontiguousarray(model.p[grams].T)
-    full = _em(p)
+    full, n = _em(p, times), len(grams) if times is None else int(times.sum())
     for k in np.argsort(-full, kind="stable"):
         if k in chosen or full[k] < LEAST_SHARE:
             continue
         trial = [*chosen, int(k)]
-        share = _em(p[trial])
-        gain = float(np.log((share[:, None] * p[trial]).sum(0)).sum()) - fit
-        if share.min() < LEAST_SHARE or gain * INDEPENDENT <= 0.5 * np.log(len(grams)):
-            break
-        chosen, pi, fit = trial, share, fit + gain
+        share = _em(p[trial], times)
+        logs = np.log((share[:, None] * p[trial]).sum(0))
+        gain = float(logs.sum() if times is None else (logs * times).sum()) - fit
+        if share.min() >= LEAST_SHARE and gain * INDEPENDENT > 0.5 * np.log(n):
+            chosen, pi, fit = trial, share, fit + gain
     return sorted(((model.langs[k], float(x)) for k, x in zip(chosen, pi, strict=True)), key=lambda r: (-r[1], r[0]))
 
 
@@ -134,7 +162,8 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
 
     lang_pred: the language with the largest proportion, ``score`` its
     proportion. ``und`` with score 0 for a null text, one without a letter, or if
-    nothing was learnt. Rows are handled each on its own; whole texts are read.
+    nothing was learnt. Rows are handled each on its own; whole texts are read, a
+    block at a time. Null doc_ids and repeated rows are rows like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
@@ -144,8 +173,8 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
         for b in batches:
             found = []
             for t in b.column(b.num_columns - 1):
-                g, n = trigrams(t.as_py() or "")
-                found.append(infer(m, g) if n and m.langs else [("und", 0.0)])
+                g, times, n = trigrams(t.as_py() or "")
+                found.append(infer(m, g, times) if n and m.langs else [("und", 0.0)])
             out = [pa.array([f[0][0] for f in found], pa.string()), pa.array([f[0][1] for f in found], pa.float64()), pa.array([[{"lang": a, "share": s} for a, s in f] for f in found], languages)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*b.schema.names[:-1], "lang_pred", "score", "languages"])
 
@@ -155,7 +184,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     from pyspark.sql import types as T
 
     schema = schema.add("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))
-    return given.mapInArrow(run, schema)
+    return mapped(given, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Fixed values of the formats: magic number, its place in the file, type.
 MAGICS = (
     (b"\x89PNG\r\n\x1a\n", 0, "image/png"),
@@ -222,7 +224,7 @@ def sniff_column(df: DataFrame, *, row_id: str, media: str, declared: str) -> Da
             out = [b.column(0), b.column(2), pa.array([o[2] if o else "application/octet-stream" for o in top]), pa.array([o is not None for o in top]), pa.array(rest, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))]
             yield pa.RecordBatch.from_arrays(out, ["id", "declared", "corrected", "valid", "embedded"])
 
-    return given.mapInArrow(run, f"id {df.schema[row_id].dataType.simpleString()}, declared string, corrected string, valid boolean, embedded {kind}")
+    return mapped(given, run, f"id {df.schema[row_id].dataType.simpleString()}, declared string, corrected string, valid boolean, embedded {kind}")
 
 
 def stored_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", declared: str = "image/png") -> DataFrame:
@@ -259,7 +261,7 @@ def stored_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, types, strict=True)]], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return given.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, corrected string, embedded long")
+    return mapped(given, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, corrected string, embedded long")
 
 
 def _nibbles(payload: bytes) -> list[int]:

@@ -14,10 +14,10 @@ loop over one aggregate row, not from collected sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_PATTERN, exclusive_prefix, materialize, range_ordered, shuffle_parts
+from .common import WORD_PATTERN, exclusive_prefix, materialize, range_ordered, shuffle_parts
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -25,8 +25,6 @@ WEIGHTS = (1, 2, 3)
 #: (1 - slope) of its mean weight and ends at (1 + slope).
 SLOPES = (-0.5, 0.0, 0.5)
 MAX_EPOCHS = 3
-#: The word contracts' white space inside a SQL string literal.
-SPACE_SQL = SPACE.replace("\\", "\\\\")
 
 
 def n_words(text: str):
@@ -117,21 +115,26 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by each copy's own position.
 
-    A document taken in part appears, in its last copy, with its text up to the
-    last word taken. All columns are kept.
+    Texts stay whole: a document that the mix takes in part is, in its last
+    copy, taken whole if at least half of it was to be taken, else left out. All
+    columns are kept. Whole rows are shuffled twice, to meet their plan and to
+    be sorted.
     """
     plan = curriculum(docs, doc_id=doc_id, text=text, source=source).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_src"), "size", "taken", "positions", "before")
-    # repeated rows pair off by number: they are alike, so which gets which part doesn't matter
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th", "_src").orderBy("before")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(source).alias("src"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "th", "src").orderBy("th")))
-    j = rows.join(plan, rows["id"].eqNullSafe(plan["_id"]) & (rows["th"] == plan["_th"]) & rows["src"].eqNullSafe(plan["_src"]) & (rows["n"] == plan["_n"]))
-    j = j.select("row", F.col(f"row.`{text}`").alias("t"), "size", "taken", F.posexplode("positions").alias("_k", "position"))
-    j = j.withColumn("copy", F.col("_k") + 1)
-    part = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    cut = F.expr(f"array_join(slice(regexp_extract_all(t, '[{SPACE_SQL}]*[^{SPACE_SQL}]+', 0), 1, CAST(taken - (copy - 1) * size AS INT)), '')")
-    body = F.when(part < F.col("size"), cut).otherwise(F.col("t"))
-    keep = {text: body, **({"n_chars": F.length(body).cast("long")} if "n_chars" in docs.columns else {})}
-    out = j.select(*[keep[c].alias(c) if c in keep else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("position").alias("_at"))
-    return out.orderBy("_at").drop("_at")
+    whole = F.expr("CAST(taken DIV size + IF(2 * (taken % size) >= size, 1, 0) AS INT)")
+    plan = plan.select(*_row_key(F.col("doc_id"), F.col("text_hash"), F.col("source")), F.slice("positions", 1, whole).alias("positions"), "before")
+    plan = materialize(plan.filter("size(positions) > 0"), "plan")
+    rows = docs.select(F.struct("*").alias("row"), *_row_key(F.col(doc_id), F.xxhash64(F.col(text)), F.col(source)))
+    on = ["_id", "_key"]
+    if plan.groupBy(*on).count().filter("count > 1").limit(1).count():
+        # repeated rows pair off by number: they are alike, so which gets which part doesn't matter
+        each = Window.partitionBy(*on)
+        plan, rows = plan.withColumn("_n", F.row_number().over(each.orderBy("before"))), rows.withColumn("_n", F.row_number().over(each.orderBy("_key")))
+        on = [*on, "_n"]
+    j = rows.join(plan, on).select("row", F.explode("positions").alias("_at"))
+    return j.orderBy("_at").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _row_key(doc_id: Column, text_hash: Column, source: Column) -> list[Column]:
+    """(_id, _key) of a row, without nulls, so that a join on them is a plain one."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(text_hash, source, doc_id.isNull()).alias("_key")]

@@ -6,7 +6,8 @@ whatever the input's size), is the demand of a cutting-stock linear program over
 patterns, multisets of lengths that fit a sequence. Knapsack dynamic programming
 prices new patterns until none improves the bound by more than ``gap``; the
 solution is rounded down and what is left is placed best-fit. Patterns are
-handed to documents by rank within their length. Rounding to GRAIN costs less
+handed to documents by rank within their length, slice by slice of the stream,
+so sequences follow the documents' order. Rounding to GRAIN costs less
 than GRAIN ids a rest and keeps the program a few hundred rows wide.
 """
 
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import exclusive_prefix, materialize, shuffle_parts
+from .common import exclusive_prefix, mapped, materialize, shuffle_parts
 from .tokens import default_path, encoder
 
 CAPACITY = 1024
 END_ID = 0
 GRAIN = 4
+#: Parts of the stream over which each pattern's sequences are spread.
+SLICES = 64
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, Counter]:
@@ -151,35 +154,39 @@ def best_fit(rest: Counter, capacity: int) -> list[tuple[Counter, int]]:
     return [(Counter(dict(k)), n) for k, n in sorted(same.items())]
 
 
-def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of each document's pieces."""
+def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, order: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, stream_part, stream_place) of each document's pieces; the last two are ``order``'s, else 0."""
     path, end = tokenizer or default_path(), np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "stream_part", "stream_place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for d, p, q, t in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 ids = memoryview(encode(t.as_py()) + end)
                 n = len(ids) // 4
-                out += [(d, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                out += [(d, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n, p, q) for s in range(0, n, capacity)]
+            cols = list(zip(*out, strict=True)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    place = [F.col(c).cast("long") for c in order] if order else [F.lit(0).cast("long")] * 2
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), place[0].alias("p"), place[1].alias("q"), F.col(text).alias("text"))
+    return mapped(rows, run, ", ".join(f"{c} long" for c in names))
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, order: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens) of each piece.
 
     sequence_tokens: ids of the whole sequence, which is padded to ``capacity``
     unless that is a power of two. A null or empty text is its end id alone. Each
-    repeated row is packed. Pieces of one length are ranked by (hash range,
+    repeated row is packed. ``order``: two integer columns, a part of the stream
+    and a place in it, by which documents are ranked, so early documents come
+    into early sequences; else pieces of one length are ranked by (hash range,
     doc_id, start, checksum): pieces equal in all of these are alike.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, capacity=capacity, end_id=end_id), "pieces")
+    pieces = materialize(cut(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, capacity=capacity, end_id=end_id, order=order), "pieces")
     pieces = pieces.withColumn("units", F.ceil(F.col("length") / GRAIN).cast("long"))
     units = capacity // GRAIN
     hist = {r["units"]: r["n"] for r in pieces.groupBy("units").agg(F.count("*").alias("n")).collect()}  # ``units`` rows at most
@@ -187,10 +194,10 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     plan = patterns(hist, units)
     if full:
         plan.append((Counter({units: 1}), full))
-    keys, base, each, seq, off = _places(plan)
-    buckets = 4 * shuffle_parts(spark)
-    ranked = pieces.withColumn("one", F.lit(1).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    ranked = exclusive_prefix(ranked, "bucket", [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "one", "rank", within=("units",))
+    keys, base, each, seq, off = _places(spread(plan))
+    bucket = F.col("stream_part") if order else F.pmod(F.xxhash64("doc_id", "start"), F.lit(4 * shuffle_parts(spark)))
+    ranked = pieces.withColumn("one", F.lit(1).cast("long")).withColumn("bucket", bucket)
+    ranked = exclusive_prefix(ranked, "bucket", [F.col("stream_place"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "one", "rank", within=("units",))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,16 +208,32 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *[pa.array(x, pa.int64()) for x in out]], [*b.schema.names[:5], "sequence_id", "slot"])
 
     own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    placed = ranked.select(*own, "units", "rank").mapInArrow(place, ", ".join(f"{c} long" for c in [*own, "sequence_id", "slot"]))
+    placed = mapped(ranked.select(*own, "units", "rank"), place, ", ".join(f"{c} long" for c in [*own, "sequence_id", "slot"]))
     inside = Window.partitionBy("sequence_id")  # at most ``units`` pieces
     offset = F.coalesce(F.sum("length").over(inside.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.select(*own, "sequence_id", offset.alias("offset"), F.sum("length").over(inside).alias("sequence_tokens"))
 
 
+def spread(plan: list[tuple[Counter, int]], slices: int = SLICES) -> list[tuple[Counter, int]]:
+    """``plan`` with each pattern's copies dealt evenly over the slices, slice by slice.
+
+    A pattern starts at a place of its own between two slices, so that patterns
+    of few copies don't all fall into the same ones.
+    """
+    out = []
+    for s in range(slices):
+        for j, (c, copies) in enumerate(plan):
+            start = int(j * 0.6180339887498949 % 1 * slices)
+            n = ((s + 1) * copies + start) // slices - (s * copies + start) // slices
+            if n:
+                out.append((c, n))
+    return out
+
+
 def _places(plan: list[tuple[Counter, int]]) -> tuple[np.ndarray, ...]:
     """For each length's ranges of ranks: (key, first rank, pieces a sequence, first sequence, place in it).
 
-    As many rows as the patterns have lengths: bounded by the capacity, not by the input.
+    At most as many rows as the patterns have lengths, times the slices: bounded by the capacity, not by the input.
     """
     rows, used, sequence = [], Counter(), 0
     for c, copies in plan:

@@ -3,15 +3,17 @@
 A byte-level BPE encodes each piece of its pre-tokenizer's split on its own, so
 ids of a piece are looked up once and joined as little-endian 32-bit values.
 The split is done here only for texts whose characters all lie below U+0250,
-where the character classes of both regular expression engines agree; any other
-text, and any tokenizer of another kind, goes to the library whole. Special
-tokens' strings in a text are ordinary text.
+where the character classes of both regular expression engines agree, and that
+hold no added token's string; any other text, and any tokenizer of another kind,
+goes to the library whole. So ids are always those of the library's
+``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,8 +21,8 @@ from tokenizers import Tokenizer
 #: The byte-level pre-tokenizer's fixed pattern, its classes written out for U+0000 to U+024F.
 LETTER, NUMBER, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
 PIECES = f" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
-#: Words kept by each of the two generations of their cache; half as many pieces (about 200 bytes each).
-CACHED = 400_000
+#: Words and pieces kept by each of the two generations of their cache (about 200 bytes each).
+CACHED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -52,24 +54,30 @@ class Encoder:
     """Ids of texts. Words between single blanks are cached whole, their pieces below that.
 
     A blank before anything but white space always starts a new piece, so a text
-    whose blanks are all of that kind can be split at them first.
+    whose blanks are all of that kind can be split at them first. Words and
+    pieces share a cache: a key stands for itself behind a blank, or, after a
+    NUL, for itself alone. A word of one piece is so kept once.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
+        self.tokenizer, kind = _loaded(path)
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout")
-        self.find, self.strange = re.compile(PIECES).findall, re.compile("[^\x00-\x1b\x20-ɏ]").search
-        letters, tokenize = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize
-        self.pieces = _Cache(lambda p: b"".join([t.id.to_bytes(4, "little") for t in tokenize(p.encode().decode("latin-1").translate(letters))]), CACHED // 2)
-        self.words = _Cache(lambda w: self.split(" " + w), CACHED)
+        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or []]
+        self.find, self.strange = re.compile(PIECES).findall, re.compile("|".join(["[^\x01-\x1b\x20-ɏ]", *added])).search
+        self.letters, self.tokenize = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize
+        self.known = _Cache(self._ids, CACHED)
         self.gaps = [" " + c for c in "\t\n\x0b\x0c\r \x85\xa0"]
 
-    def split(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+    def _ids(self, key: str) -> bytes:
+        pieces = [key[1:]] if key[0] == "\0" else self.find(" " + key)
+        if len(pieces) > 1:
+            return self._joined(pieces)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(pieces[0].encode().decode("latin-1").translate(self.letters))])
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        known = self.known
+        return b"".join([known[p[1:]] if p[0] == " " and len(p) > 1 else known["\0" + p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of ``text`` (null: empty) as little-endian unsigned 32-bit integers."""
@@ -78,19 +86,23 @@ class Encoder:
         if not self.by_piece or self.strange(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if text[-1] == " " or any(g in text for g in self.gaps):
-            return self.split(text)
+            return self._joined(self.find(text))
         first, *words = text.split(" ")
-        return self.split(first) + b"".join(map(self.words.__getitem__, words))
+        return self._joined(self.find(first)) + b"".join(map(self.known.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
+@cache
+def _loaded(path: str) -> tuple[Tokenizer, dict]:
+    """The tokenizer, once a worker process and path, and what its file says of its kind."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    model = kind["model"]
+    return Tokenizer.from_file(path), {**kind, "model": {k: model.get(k) for k in ("type", "dropout")}}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A task's encoder: its cache goes with it, only the tokenizer stays."""
+    return Encoder(path)
 
 
 def default_path() -> str:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+from tessera.llm import jaccard_join
 from tessera.llm.jaccard_join import keep_first, near_duplicates
 
 
@@ -79,6 +80,25 @@ def test_repeated_rows_and_empty_table(spark):
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(0, 1, 0), (1, 2, 1), (1, 2, 1)]
     assert near_duplicates(df.limit(0)).count() == 0
     assert sorted(r["doc_id"] for r in keep_first(df).collect()) == [0, 1]
+    texts = [(1, "a b c d e", 7), (1, "q r s t u", 8), (2, "q r s t u", 9), (None, "q r s t u", 9), (None, "k", 9), (5, "a B c d e", 1), (5, "m n", 2), (3, None, 3), (3, None, 4), (3, "", 5)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, token int")
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([texts[0], texts[1], texts[4], texts[6], *texts[7:]], key=repr)
+    assert keep_first(df.limit(0)).count() == 0
+
+
+def test_hashes_do_not_depend_on_the_block(monkeypatch):
+    import numpy as np
+
+    texts = [b"", b" ", b"x" * 64, b"x" * 64 + b" ", b" " + b"x" * 300 + b"  y", b"abc de\n" * 90, b"a" * 63 + b" " + b"b" * 65]
+    want = [jaccard_join._word_hashes(t)[1] for t in texts]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    jaccard_join._powers.cache_clear()
+    for t, w in zip(texts, want, strict=True):
+        got = np.concatenate([np.zeros(0, np.uint64), *jaccard_join._long_hashes(t)])
+        assert len(got) == len(t.split()) and (got == w).all()
+    jaccard_join._powers.cache_clear()
 
 
 def test_documents(spark, sf):

@@ -197,16 +197,72 @@ def test_language_id(spark, edge, sf):
     assert [x["lang"] for x in r["languages"]] == ["en", "de"] and abs(r["score"] - 0.6) < 0.1
     kept = language_id.identify(edge, model, keep=True)
     assert set(edge.columns) < set(kept.columns)
+    assert language_id.identify(edge, model).filter("doc_id = 6").first()["lang_pred"] in model.langs
     nothing = language_id.learn(edge.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(edge, nothing).collect()} == {"und"}
 
 
-def direct(text, end):
-    from tokenizers import Tokenizer
+def plain_mixture(p, least, independent):
+    """The language set and proportions of trigram probabilities ``p`` (languages x trigrams), in plain Python."""
+    import math
+
+    def em(rows):
+        pi = [1 / len(rows)] * len(rows)
+        while True:
+            sums = [0.0] * len(rows)
+            for g in zip(*rows):
+                all_ = sum(x * y for x, y in zip(pi, g))
+                for i, (x, y) in enumerate(zip(pi, g)):
+                    sums[i] += x * y / all_
+            new = [s / len(rows[0]) for s in sums]
+            done = max(abs(x - y) for x, y in zip(new, pi)) < 1e-3 or sorted(new)[-2] < least / 2
+            pi = new
+            if done:
+                return pi
+
+    alone = [sum(map(math.log, r)) for r in p]
+    chosen, fit, pi, full = [alone.index(max(alone))], max(alone), [1.0], em(p)
+    for k in sorted(range(len(p)), key=lambda k: -full[k]):
+        if k not in chosen and full[k] >= least:
+            share = em([p[i] for i in [*chosen, k]])
+            like = sum(math.log(sum(x * y for x, y in zip(share, g))) for g in zip(*[p[i] for i in [*chosen, k]]))
+            if min(share) >= least and (like - fit) * independent > 0.5 * math.log(len(p[0])):
+                chosen, pi, fit = [*chosen, k], share, like
+    return chosen, pi
+
+
+def test_mixture_is_plain_em(docs, sf):
+    import numpy as np
+
+    full = docs.sparkSession.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    model = language_id.learn(full.filter(~language_id.held_out()))
+    own = sorted((r["text"], r["lang"]) for r in docs.collect() if 100 < r["n_chars"] < 4000 and r["lang"])
+    pieces = [" ".join(t[:k] for t, k in zip((own[i][0], own[-i][0], own[i * 7 % len(own)][0]), (600, 400, 300))) for i in range(1, 40)]
+    several = 0
+    for t in [*(x for x, _ in own[:20]), *pieces, "a", "word word", "123 x 9"]:
+        g, times, n = language_id.trigrams(t)
+        assert times is None and n == sum(c.isalpha() for c in t)
+        want, pi = plain_mixture([model.p[g, i].astype(float).tolist() for i in range(len(model.langs))], language_id.LEAST_SHARE, language_id.INDEPENDENT)
+        got = language_id.infer(model, g)
+        assert {x for x, _ in got} == {model.langs[i] for i in want}, t
+        assert all(abs(dict(got)[model.langs[i]] - x) < 1e-3 for i, x in zip(want, pi))
+        several += len(want) > 1
+        at, often = np.unique(g, return_counts=True)
+        assert [x for x, _ in language_id.infer(model, at, often)] == [x for x, _ in got]
+    assert several > 10
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    import numpy as np
 
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    for t in ("", "ab", "Ein Satz, und noch einer!  " * 50, " .x" * 200, "日本語" * 100, "x" * 500, "?" * 300 + "q", "Abc" + " " * 300):
+        g, _, n = language_id.trigrams(t)
+        for block in (1, 2, 7, 64):
+            monkeypatch.setattr(language_id, "BLOCK", block)
+            at, often, m = language_id.trigrams(t)
+            often = np.ones(len(at), int) if often is None else often
+            assert m == n and (np.bincount(np.repeat(at, often), minlength=1 << 16) == np.bincount(g, minlength=1 << 16)).all(), (t[:9], block)
+            monkeypatch.undo()
 
 
 def u32(ids):
@@ -221,7 +277,8 @@ def test_encoder_is_the_tokenizer():
         for s in ("a%sb", " %s ", "1%s2", "x  %s", "%s\n %s a's", "!%s "):
             t = s.replace("%s", c)
             assert enc(t) == u32(direct_ids(t)), repr(t)
-    for t in ("日本語 text", "<|endoftext|> x", "a\x1cb", "tabs\t\tand  blanks ", "it's '''s"):
+    assert direct_ids("x <|endoftext|> y") == [87, 220, 50256, 331]
+    for t in ("日本語 text", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>", "x\0 y \0x", "x x, x\n x", "\n\n a  b\n", "  's 's", " ", "a\x1cb", "tabs\t\tand  blanks ", "it's '''s"):
         assert enc(t) == u32(direct_ids(t)), t
 
 
@@ -230,7 +287,6 @@ def direct_ids(t, cache={}):
         from tokenizers import Tokenizer
 
         cache["t"] = Tokenizer.from_file(tokens.default_path())
-        cache["t"].encode_special_tokens = True
     return cache["t"].encode(t, add_special_tokens=False).ids
 
 
@@ -281,6 +337,23 @@ def test_packing(spark, edge, docs):
     assert packing.pack(edge.limit(0)).count() == 0
 
 
+def test_packing_keeps_the_order(spark):
+    """Documents that come early in the stream come into early sequences; every id still lies in one piece."""
+    rows_ = [(i, "word " * (60 * (i * 7 % 8)), i // 100, i % 100) for i in range(1000)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, part long, place long").repartition(4)
+    out = packing.pack(df, order=("part", "place")).collect()
+    place, n = {}, len({r["sequence_id"] for r in out})
+    for r in out:
+        place.setdefault(r["doc_id"], []).append(r["sequence_id"] / n)
+    mean = [sum(sum(place[i]) / len(place[i]) for i in range(k, k + 100)) / 100 for k in range(0, 1000, 100)]
+    assert mean == sorted(mean) and mean[0] < 0.1 and mean[-1] > 0.9
+    plan = [(Counter({3: 2}), 100), (Counter({5: 1, 1: 3}), 1), (Counter({4: 1}), 7)]
+    made = Counter()
+    for c, k in packing.spread(plan, 16):
+        made[tuple(sorted(c.items()))] += k
+    assert made == {tuple(sorted(c.items())): k for c, k in plan}
+
+
 def test_patterns_cover_the_demand_near_the_bound():
     import numpy as np
 
@@ -337,7 +410,13 @@ def test_mix(spark, edge, docs):
         assert rows(mix.mix(df), "doc_id", "taken", "position") == rows(mix.mix(df), "doc_id", "taken", "position")
         got = mix.mixed_documents(df)
         assert got.columns == df.columns
-        assert sum(len(words(r["text"])) for r in got.collect()) == sum(taken.values())
+        # whole texts only, and a document in part is whole or left out, whichever is nearer
+        whole = sorted((r["doc_id"], r["taken"] // r["size"] + (2 * (r["taken"] % r["size"]) >= r["size"])) for r in out if r["taken"])
+        times, text = Counter(r["doc_id"] for r in got.collect()), {i: t for i, t, _ in own}
+        want_times = Counter()
+        for i, n in whole:
+            want_times[i] += n
+        assert times == +want_times and all(r["text"] == text[r["doc_id"]] for r in got.collect())
     assert mix.mix(edge.limit(0)).count() == 0 and mix.mixed_documents(edge.limit(0)).count() == 0
 
 
@@ -362,7 +441,8 @@ def test_mix_places_every_copy(spark):
             places = [before + k * r["source_size"] for k in range(-(-r["taken"] // r["size"]))]
             times = [demand_time(p / int(r["target"]), slopes[s]) for p in places]
             assert len(r["positions"]) == len(times) and all(abs(x - y) < 1e-6 for x, y in zip(r["positions"], times, strict=True))
-            want += [(t, r["doc_id"]) for t in times]
+            full, part = divmod(r["taken"], r["size"])
+            want += [(t, r["doc_id"]) for t in times[: full + (2 * part >= r["size"])]]
             before += r["size"]
     assert any(len(r["positions"]) > 1 for r in out)
     got = [r["doc_id"] for r in mix.mixed_documents(df).collect()]
