@@ -8,6 +8,7 @@ one's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, line_dedup, mix, packing
 from tessera.llm.common import materialize, table
@@ -35,13 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents until each source meets its target; the order is the training order."""
+    """Repeats or leaves out whole documents until each source nearly meets its target; the order is the training order."""
     return mix.mixed_documents(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """The pieces of all documents in sequences of 1024 tokens, in the order in which the stage before wrote them."""
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    cols = [F.col("doc_id"), F.col("text"), part.alias("part"), F.col("_metadata.row_index").alias("place")]
+    return packing.pack(docs.select(*cols), order=("part", "place"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("mixing", mixing), ("packing", pack)]
