@@ -91,20 +91,87 @@ def test_edited_texts_and_fingerprints(edge, docs):
     assert sum(r["near_next"] < 0.1 for r in long) > 0.9 * len(long)
     assert syncmers.edit_report(edge.limit(0)).count() == 0
     assert rows(syncmers.edit_report(edge.filter("doc_id = 10")), "near_next") == [(1.0,)]
+    odd = edge.filter("doc_id < 4").union(edge.filter("doc_id = 10").withColumn("doc_id", F.lit(None)))
+    last = next(r for r in syncmers.edit_report(odd).collect() if r["doc_id"] is None)
+    t, first = EDGE[-1][1], EDGE[2][1]
+    assert last["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 3] + first[: len(t) // 3]).encode()).hexdigest()
 
 
-def test_anchors_are_context_free_and_minimal_at_an_edge(spark):
-    from pyspark.sql.functions import expr, xxhash64
+def xx(*parts):
+    """Spark's xxhash64 of strings and longs."""
+    import xxhash
 
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64(p.encode() if isinstance(p, str) else (p % 2**64).to_bytes(8, "little"), seed=seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_anchors(text, k=syncmers.K, s=syncmers.S):
+    """(place from 0, 32 bits of hash) of the closed syncmers, in plain Python."""
+    w = []
+    for run in words(text):
+        w += [run] if len(run) <= syncmers.LONG else list(run)
+    h = [xx(*w[i : i + s]) for i in range(len(w) - s + 1)]
+    out = []
+    for i in range(len(w) - k + 1):
+        inner = h[i : i + k - s + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, xx(*[inner[j] for j in sorted({*range(0, k - s, s), k - s})]) % 2**64 >> 32))
+    return out or ([(0, xx(*w) % 2**64 >> 32)] if w else [])
+
+
+def plain_links(found):
+    if len(found) < 2:
+        return {h for _, h in found}
+    return {(a, q - p, b) for (p, a), (q, b) in zip(found, found[1:])}
+
+
+def plain_likeness(a, b):
+    a, b = plain_links(plain_anchors(a)), plain_links(plain_anchors(b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_anchors_and_likeness_are_those_of_plain_python(spark, edge, docs):
+    for df, own in ((edge, sorted(EDGE, key=lambda r: -r[0])), (docs, sorted(docs.collect(), key=lambda r: -r["doc_id"]))):
+        own = [(r[0], r[1] or "") for r in own]
+        if df is docs:
+            found = defaultdict(list)
+            for r in syncmers.anchors(df).orderBy("doc_id", "position").collect():
+                found[r["doc_id"]].append((r["position"], r["anchor"]))
+            assert found == {i: a for i, t in own if (a := plain_anchors(t))}
+        got = {r["doc_id"]: r for r in syncmers.edit_report(df).collect()}
+        for k, (i, t) in enumerate(own):
+            if i == 8:
+                continue  # a repeated row is its own next
+            nxt, m = own[(k + 1) % len(own)][1], len(t) // 3
+            e = t[: len(t) - m] + nxt[:m]
+            assert abs(got[i]["near_edited"] - plain_likeness(t, e)) < 1e-9 and abs(got[i]["near_next"] - plain_likeness(t, nxt)) < 1e-9
+            places = plain_anchors(t)
+            assert got[i]["fingerprint"] == "".join(f"{(p - q << 32) + h:X}" for (p, h), (q, _) in zip(places, [(-1, 0), *places]))
+
+
+def test_anchors_are_context_free_and_never_far_apart():
     w = [f"w{i}" for i in range(400)]
-    df = spark.createDataFrame([(" ".join(w),), (" ".join(["z"] * 9 + w[100:300] + ["q"] * 9),)], "t string")
-    a, b = (set(r[0]) for r in df.select(expr(syncmers.anchors_sql("t"))).collect())
-    runs = [r[0] for r in spark.createDataFrame([(i, w[i], w[i + 1] if i < 399 else None) for i in range(400)], "i int, a string, b string").orderBy("i").select(xxhash64("a", "b")).collect()]
-    chosen = [i for i in range(396) if min(runs[i : i + 4]) in (runs[i], runs[i + 3])]
-    keys = spark.createDataFrame([(runs[i], runs[i + 2], runs[i + 3]) for i in chosen], "x long, y long, z long").select(xxhash64("x", "y", "z")).collect()
-    assert {r[0] for r in keys} == a
-    inner = {k[0] for i, k in zip(chosen, keys) if 100 <= i <= 295}
-    assert inner <= b
+    a, b = plain_anchors(" ".join(w)), plain_anchors(" ".join(["z"] * 9 + w[100:300] + ["q"] * 9))
+    assert {h for p, h in a if 100 <= p <= 295} <= {h for _, h in b}
+    assert all(q - p <= syncmers.K - syncmers.S for (p, _), (q, _) in zip(a, a[1:]))
+
+
+def test_unspaced_texts_are_matched(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join("".join(rng.choices("あいうえおかきくけこさしすせそたちつてと日本語文章機械学習", k=25)) + "。" for _ in range(40)) for _ in range(3)]
+    out = syncmers.edit_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0.4 and r["near_next"] < 0.05 for r in out)
+
+
+def test_ranges(spark):
+    for bounds in ([], [5], [-7, 0, 3, 9], list(range(0, 300, 3))):
+        df = spark.createDataFrame([(v,) for v in [None, *range(-10, 320, 7)]], "v long")
+        got = df.select("v", syncmers._bucket(F.col("v"), bounds)).collect()
+        assert all(b == (-1 if v is None else sum(x <= v for x in bounds)) for v, b in got)
 
 
 def test_media_round_trip_and_sniffing(spark, edge):
