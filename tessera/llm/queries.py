@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, jaccard_join, language_id, line_dedup, media, mix, packing, pii, syncmers, url_filter
+from . import bitplanes, jaccard_join, labelled_urls, language_id, line_dedup, media, mix, packing, pii, syncmers, url_filter
 from .common import table
 
 BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.05, 3
@@ -22,13 +22,9 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled URLs: a page's url ends in a document's number, and ``labels`` judges that document."""
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    number = F.regexp_extract(F.col("url"), "://[^/?#]*/[a-z]+/([0-9]{1,18})(?:[/.?#]|$)", 1)
-    named = pages.select("url", number.try_cast("long").alias("doc_id"))
-    judged = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block"))
-    weights = url_filter.train(named.join(judged, "doc_id"))
-    return url_filter.judge(pages, weights)
+    """No table labels URLs: the model learns from the small table of ``labelled_urls``."""
+    labelled = spark.createDataFrame(labelled_urls.table(), "url string, block int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(labelled))
 
 
 def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 hashed character n-grams of host and path.
 
 The model is trained on the driver from a bounded, documented sample of a
-labelled URL table and scored in Arrow batches, all n-grams of a batch at once.
+labelled URL table and scored in Arrow batches, a block of characters at a time.
 Nothing is shuffled.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 #: (rule, verdict); a rule is a host, and all its subdomains, and a path prefix.
 RULES = (
     ("org/", "allow"),
@@ -25,6 +27,8 @@ RULES = (
 )
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 15
+#: Characters whose n-grams are held at once.
+BLOCK = 1 << 18
 #: Rows that the model is fitted on at most, the first by a hash of the url.
 SAMPLE = 20_000
 
@@ -50,38 +54,66 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def features(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every character n-gram, over UTF-8 bytes of ``host path``."""
-    raw = [f"^{u}$".encode() for u in urls]
-    buf = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
-    lengths = np.array([len(r) for r in raw], dtype=np.int64)
-    doc = np.repeat(np.arange(len(raw)), lengths)
-    rows, buckets = [], []
-    for n in SIZES:
-        if len(buf) < n:
-            continue
-        h = np.full(len(buf) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            h = (h ^ buf[i : len(buf) - n + 1 + i]) * np.uint64(0x100000001B3)
-        inside = doc[: len(h)] == doc[n - 1 :]
-        h ^= h >> np.uint64(29)
-        rows.append(doc[: len(h)][inside])
-        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
-    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _margins(weights: np.ndarray, urls: list[str]) -> np.ndarray:
-    rows, buckets = features(urls)
-    n = np.maximum(np.bincount(rows, minlength=len(urls)), 1)
-    return np.bincount(rows, weights[buckets], minlength=len(urls)) / np.sqrt(n) + weights[BUCKETS]
-
-
-def fit(urls: list[str], block: np.ndarray, epochs: int = 60, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
+def _grams(codes: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of the n-gram at each place of ``codes``; ``part`` tells those of hosts from those of paths."""
+    k = len(codes) - n + 1
+    h = part[:k] * np.uint64(31) + np.uint64(n)
+    for i in range(n):
+        h = (h ^ codes[i : k + i]) * np.uint64(0x100000001B3)
+    h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(urls: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every character n-gram of each (host, path), at most about BLOCK characters at a time.
+
+    Host and path are taken apart, each between bounds ``^`` and ``$``.
+    """
+    codes, rows, part, size = [], [], [], 0
+
+    def of() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, r, p = np.concatenate(codes), np.concatenate(rows), np.concatenate(part)
+        own = 2 * r.astype(np.uint64) + p
+        for n in SIZES:
+            if len(c) >= n:
+                inside = own[: len(c) - n + 1] == own[n - 1 :]
+                yield r[: len(c) - n + 1][inside], _grams(c, p, n)[inside]
+
+    for k, pair in enumerate(urls):
+        for j, text in enumerate(pair):
+            c = np.frombuffer(f"^{text}$".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            if len(c) > BLOCK:  # alone, in blocks that overlap by less than an n-gram
+                for n in SIZES:
+                    for at in range(0, len(c) - n + 1, BLOCK):
+                        piece = c[at : at + BLOCK + n - 1]
+                        h = _grams(piece, np.full(len(piece), j, np.uint64), n)
+                        yield np.full(len(h), k), h
+                continue
+            if size + len(c) > BLOCK:
+                yield from of()
+                codes, rows, part, size = [], [], [], 0
+            codes.append(c)
+            rows.append(np.full(len(c), k))
+            part.append(np.full(len(c), j, np.uint64))
+            size += len(c)
+    if codes:
+        yield from of()
+
+
+def _margins(weights: np.ndarray, urls: list[tuple[str, str]]) -> np.ndarray:
+    total, n = np.zeros(len(urls)), np.zeros(len(urls))
+    for rows, buckets in features(urls):
+        total += np.bincount(rows, weights[buckets], minlength=len(urls))
+        n += np.bincount(rows, minlength=len(urls))
+    return total / np.sqrt(np.maximum(n, 1)) + weights[BUCKETS]
+
+
+def fit(urls: list[tuple[str, str]], block: np.ndarray, epochs: int = 200, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
     """Weights and bias by full-batch gradient descent with momentum; no rows: all zero."""
     w = np.zeros(BUCKETS + 1)
     if not urls:
         return w
-    rows, buckets = features(urls)
+    rows, buckets = (np.concatenate(x) for x in zip(*features(urls), strict=True))
     x = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(urls)), 1))
     y, speed = block.astype(float), np.zeros_like(w)
     base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -99,8 +131,8 @@ def fit(urls: list[str], block: np.ndarray, epochs: int = 60, rate: float = 2.0,
 def train(labelled: DataFrame, *, url: str = "url", label: str = "block", sample: int = SAMPLE) -> np.ndarray:
     """Fit on (url, block 0/1); at most ``sample`` rows, by hash of the url. Null labels don't count."""
     rows = with_host_path(labelled.select(F.col(url).alias("url"), F.col(label).cast("int").alias("block")).filter(F.col("block").isNotNull()))
-    rows = rows.select(F.concat("host", "path").alias("u"), "block").orderBy(F.xxhash64("u"), "u", "block").limit(sample).collect()
-    return fit([r["u"] for r in rows], np.array([r["block"] for r in rows]))
+    rows = rows.select("host", "path", "block").orderBy(F.xxhash64("host", "path"), "host", "path", "block").limit(sample).collect()
+    return fit([(r["host"], r["path"]) for r in rows], np.array([r["block"] for r in rows]))
 
 
 def judge(pages: DataFrame, weights: np.ndarray, *, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -108,8 +140,10 @@ def judge(pages: DataFrame, weights: np.ndarray, *, page_id: str = "page_id", ur
 
     verdict: the longest fitting rule's, else ``block`` where the model's
     probability exceeds 1/2. A null or malformed url has empty host and path and
-    is judged by the model. Repeated rows are judged each.
+    is judged by the model. Repeated rows are judged each; no other column of
+    ``pages`` is read. Very long urls are scored a block at a time.
     """
+    ship_package(pages.sparkSession)
     rows = with_host_path(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")))
     rule, says = rule_columns(rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"))
@@ -118,7 +152,7 @@ def judge(pages: DataFrame, weights: np.ndarray, *, page_id: str = "page_id", ur
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for host, path in parts:
-            yield pd.Series(1 / (1 + np.exp(-_margins(shared.value, list(host + path)))))
+            yield pd.Series(1 / (1 + np.exp(-_margins(shared.value, list(zip(host, path, strict=True))))))
 
     rows = rows.withColumn("block_score", score("host", "path"))
     verdict = F.coalesce("says", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))

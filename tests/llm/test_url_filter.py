@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.llm import queries, url_filter
+from tessera.llm import labelled_urls, queries, url_filter
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -68,3 +68,26 @@ def test_query_ignores_a_column_named_n(spark, sf, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     scores = lambda d: {r["page_id"]: (r["verdict"], round(r["block_score"], 6)) for r in queries.op3_url_filter(spark, str(d)).collect()}
     assert scores(tmp_path) == scores(sf)
+
+
+def test_shipped_table_tells_unseen_sites(spark, sf):
+    """None of the pages' hosts stands in the labelled table; its spam sites rank above all others."""
+    spam = ("casino-win", "ads-track", "free-bets", "spam-farm", "cheap-pills", "adult-x")
+    assert not set(spam) & {*labelled_urls.BLOCKED, *labelled_urls.ALLOWED}
+    out = queries.op3_url_filter(spark, sf.replace("0.001", "0.1")).collect()
+    bad, good = ([r["block_score"] for r in out if any(s in r["host"] for s in spam) == k] for k in (True, False))
+    auc = np.mean([[b > g for g in good[::5]] for b in bad])
+    right = sum(s > 0.5 for s in bad) + sum(s <= 0.5 for s in good)
+    assert auc > 0.95 and right / len(out) > 0.98 > len(good) / len(out)
+
+
+def test_n_grams_do_not_depend_on_the_block(monkeypatch):
+    urls = [("", ""), ("a", "/"), ("É.org", "/x" * 90), ("host.example", ""), ("h" * 300, "/p")]
+    def every():
+        return sorted((int(r), int(b)) for rows, buckets in url_filter.features(urls) for r, b in zip(rows, buckets))
+    want = every()
+    for block in (8, 50, 200):
+        monkeypatch.setattr(url_filter, "BLOCK", block)
+        assert every() == want
+    host, path = (sorted(int(b) for _, x in url_filter.features([p]) for b in x) for p in (("abc", ""), ("", "abc")))
+    assert host != path
