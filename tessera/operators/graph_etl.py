@@ -9,13 +9,14 @@ from .aggregate import dense_numbers
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """Distinct edges in both directions."""
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Distinct edges in both directions; ``edges`` are read once."""
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select(F.explode(F.array(F.struct("src", "dst"), back)).alias("e")).select("e.*").distinct()
 
 
 def vertices(edges: DataFrame) -> DataFrame:
-    """Distinct endpoints."""
-    return edges.select(F.col("src").alias("vertex")).union(edges.select(F.col("dst").alias("vertex"))).distinct()
+    """Distinct endpoints; ``edges`` are read once."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
 
 
 def degrees(edges: DataFrame, end: str = "src") -> DataFrame:
@@ -37,9 +38,46 @@ def adjacency(edges: DataFrame, dense: bool = False) -> DataFrame:
     return ids.join(adj, "vertex", "left").withColumn("nbrs", F.coalesce("nbrs", F.expr("CAST(array() AS ARRAY<BIGINT>)")))
 
 
-def explode_adjacency(adj: DataFrame) -> DataFrame:
-    """Edge records (src = neighbour, dst = vertex, num_neighbors of the vertex)."""
-    return adj.select(F.col("vertex").alias("dst"), F.explode("nbrs").alias("src"), F.size("nbrs").cast("bigint").alias("num_neighbors")).select("src", "dst", "num_neighbors")
+def explode_adjacency(adj: DataFrame, n_vertices: int | None = None) -> DataFrame:
+    """Edge records (src = neighbour, dst = vertex, num_neighbors of the vertex); ``n_vertices``: also both ends' first rank, 1 / n_vertices."""
+    e = adj.select(F.explode("nbrs").alias("src"), F.col("vertex").alias("dst"), F.size("nbrs").cast("bigint").alias("num_neighbors"))
+    return e if n_vertices is None else e.select("src", "dst", F.lit(1.0 / n_vertices).alias("v_rank"), F.lit(1.0 / n_vertices).alias("rank"), "num_neighbors")
+
+
+def edge_order(edges: DataFrame, by: str = "src") -> DataFrame:
+    """Edges in the order of (src, dst), or of (dst, src)."""
+    return edges.orderBy(*(("src", "dst") if by == "src" else ("dst", "src")))
+
+
+def adjacency_file(edges: DataFrame) -> DataFrame:
+    """(n, value): the lines of an adjacency file in order: ``max_id edges`` as line 0, then the sorted neighbours of each id from 1.
+
+    Edges are made symmetric; the header counts each once. Isolated ids have an
+    empty line, id 0 has none.
+    """
+    e = symmetrize(edges)
+    header = e.agg(F.coalesce(F.max("src"), F.lit(0)).alias("top"), F.floor(F.count("*") / 2).alias("m")).select(F.lit(0).cast("bigint").alias("n"), F.concat_ws(" ", "top", "m").alias("value"))
+    body = adjacency(e, dense=True).select(F.col("vertex").alias("n"), F.array_join(F.transform("nbrs", lambda v: v.cast("string")), " ").alias("value"))
+    return header.union(body)
+
+
+def relabel_sweep(parts: DataFrame, counts: list[int], base: int = 1) -> DataFrame:
+    """(parts, vertex, part, new_id): ``relabel`` for each number of parts, taken as part mod it."""
+    out = None
+    for k in counts:
+        one = relabel(parts.select("vertex", F.pmod("part", F.lit(k)).alias("part")), base).select(F.lit(k).alias("parts"), "vertex", "part", "new_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def histogram_sweep(vectors: dict[str, DataFrame], counts: list[int]) -> DataFrame:
+    """(vector, parts, part, n): ``part_histogram`` of each named partition vector and number of parts."""
+    out = None
+    for name, parts in vectors.items():
+        for k in counts:
+            one = part_histogram(parts, k).select(F.lit(name).alias("vector"), F.lit(k).alias("parts"), "part", "n")
+            out = one if out is None else out.union(one)
+    return out
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
@@ -72,4 +110,5 @@ def part_histogram(parts: DataFrame, n: int) -> DataFrame:
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
+    """(file, n_lines) of ``read_lines``; files without lines have no row."""
     return lines.groupBy("file").agg(F.count("*").alias("n_lines"))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_cut, key_part
-from ..session import materialize
+from ..session import discard, materialize, ship_package
 from .aggregate import dense_numbers
 from .graph_etl import vertices
-from .pagerank import pagerank
+from .pagerank import pagerank, sharded_pagerank
 
 
 def initial_parts(edges: DataFrame, parts: int) -> DataFrame:
@@ -24,10 +24,15 @@ def with_parts(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return edges.join(s, "src", "left").join(d, "dst", "left")
 
 
+def weight_of(edges: DataFrame) -> Column:
+    """An edge's weight: its column ``weight``, else 1."""
+    return F.col("weight") if "weight" in edges.columns else F.lit(1).cast("bigint")
+
+
 def d_values(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """(vertex, ext, deg, d): edges to other parts, all edges, external minus internal."""
-    cut = F.sum(is_cut(F.col("src_part"), F.col("dst_part")).cast("bigint"))
-    g = with_parts(edges, parts).groupBy(F.col("dst").alias("vertex")).agg(cut.alias("ext"), F.count("*").alias("deg"))
+    """(vertex, ext, deg, d): weight of edges to other parts, of all edges, external minus internal."""
+    cut = F.sum(F.when(is_cut(F.col("src_part"), F.col("dst_part")), weight_of(edges)).otherwise(0))
+    g = with_parts(edges, parts).groupBy(F.col("dst").alias("vertex")).agg(cut.alias("ext"), F.sum(weight_of(edges)).alias("deg"))
     return g.select("vertex", "ext", "deg", (F.col("ext") * 2 - F.col("deg")).alias("d"))
 
 
@@ -38,16 +43,16 @@ def boundary_counts(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row: cut edges of a symmetric edge set, each counted once."""
-    return with_parts(edges, parts).agg(F.floor(F.sum(is_cut(F.col("src_part"), F.col("dst_part")).cast("bigint")) / 2).cast("bigint").alias("cut"))
+    """One row: weight of the cut edges of a symmetric edge set, each counted once."""
+    return with_parts(edges, parts).agg(F.floor(F.sum(F.when(is_cut(F.col("src_part"), F.col("dst_part")), weight_of(edges)).otherwise(0)) / 2).cast("bigint").alias("cut"))
 
 
-def pick_swaps(left: pd.DataFrame, right: pd.DataFrame, joined: set[tuple[int, int]], limit: int | None = None) -> list[tuple[int, int, int]]:
+def pick_swaps(left: pd.DataFrame, right: pd.DataFrame, joined: dict[tuple[int, int], int], limit: int | None = None) -> list[tuple[int, int, int]]:
     """Greedy (a, b, gain): the best pair, both masked, until no gain is positive.
 
-    gain = D(a) + D(b) - 2 if joined. Both sides are sorted by falling D, so a
-    scan stops at the first sum that can't beat the best found. Ties: the least
-    (a, b).
+    gain = D(a) + D(b) - 2 * weight of their edge. Both sides are sorted by
+    falling D, so a scan stops at the first sum that can't beat the best found.
+    Ties: the least (a, b).
     """
     a = sorted(((-int(d), int(v)) for v, d in zip(left["vertex"], left["d"], strict=True)))
     b = sorted(((-int(d), int(v)) for v, d in zip(right["vertex"], right["d"], strict=True)))
@@ -60,68 +65,90 @@ def pick_swaps(left: pd.DataFrame, right: pd.DataFrame, joined: set[tuple[int, i
             for db, y in b:
                 if -(da + db) < max(1, -best[0]):
                     break
-                g = -(da + db) - 2 * ((x, y) in joined)
+                g = -(da + db) - 2 * joined.get((x, y), 0)
                 if g > 0 and (-g, x, y) < (best if best[0] else (0, float("inf"), 0)):
                     best = (-g, x, y)
         if not best[0]:
             break
         out.append((best[1], best[2], -best[0]))
-        a = [r for r in a if r[1] != best[1]]
-        b = [r for r in b if r[1] != best[2]]
+        a.remove(next(r for r in a if r[1] == best[1]))
+        b.remove(next(r for r in b if r[1] == best[2]))
     return out
 
 
-def pair_swaps(edges: DataFrame, parts: DataFrame, p: int, q: int, limit: int | None = None) -> DataFrame:
-    """(pick, a, b, gain) of the greedy swaps between parts p and q, with D as it stands.
+def wave_swaps(edges: DataFrame, parts: DataFrame, pairs: list[tuple[int, int]], limit: int | None = None) -> DataFrame:
+    """(p, q, pick, a, b, gain) of the greedy swaps between the parts of each pair, with D as it stands; no part is in two pairs.
 
-    Only vertices that some partner could give a positive gain reach the one
-    task that picks (a's D plus the other side's largest must be positive);
-    picking is sequential by its definition.
+    Picking is sequential by its definition, so a pair is a task; the pairs run
+    side by side. Only vertices that some partner could give a positive gain
+    reach it (a's D plus the other side's largest must be positive).
     """
-    d = d_values(edges, parts).join(parts.filter(F.col("part").isin(p, q)), "vertex")
-    d = materialize(d.select("vertex", "d", "part"), "gains")
-    top = {r["part"]: r["m"] for r in d.groupBy("part").agg(F.max("d").alias("m")).collect()}
-    if len(top) < 2:
-        return d.sparkSession.createDataFrame([], "pick bigint, a bigint, b bigint, gain bigint")
-    live = d.filter(F.col("d") + F.when(F.col("part") == p, F.lit(top[q])).otherwise(F.lit(top[p])) > 0)
-    if limit == 1:  # the two largest give the sum of tops or 2 less: nothing below that can win
-        live = live.filter(F.col("d") >= F.when(F.col("part") == p, F.lit(top[p] - 2)).otherwise(F.lit(top[q] - 2)))
-    a, b = (live.filter(F.col("part") == k).select(F.col("vertex").alias(v)) for k, v in ((p, "src"), (q, "dst")))
-    links = edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst").distinct()
-    rows = live.select("vertex", "d", "part", F.lit(None).cast("bigint").alias("dst")).union(links.select(F.col("src"), F.lit(0).cast("bigint"), F.lit(-1), "dst"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf["part"] == -1]
-        picks = pick_swaps(pdf[pdf["part"] == p], pdf[pdf["part"] == q], set(zip(e["vertex"].astype(int), e["dst"].astype(int), strict=True)), limit)
-        return pd.DataFrame([(i, *x) for i, x in enumerate(picks)], columns=["pick", "a", "b", "gain"])
-
-    return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "pick bigint, a bigint, b bigint, gain bigint")
-
-
-def swap(parts: DataFrame, swaps: DataFrame, p: int, q: int) -> DataFrame:
-    """``parts`` with the labels of the pairs (a in p, b in q) exchanged."""
-    moves = swaps.select(F.col("a").alias("vertex"), F.lit(q).alias("_to")).union(swaps.select(F.col("b").alias("vertex"), F.lit(p).alias("_to")))
+    spark = edges.sparkSession
+    sides = [(k, side, part) for k, pq in enumerate(pairs) for side, part in enumerate(pq)]
+    named = F.broadcast(spark.createDataFrame(sides, "pair int, side int, part int"))  # two rows a pair
+    d = materialize(d_values(edges, parts).join(parts, "vertex").join(named, "part").select("vertex", "d", "pair", "side"), "gains")
+    top = {(r["pair"], r["side"]): r["m"] for r in d.groupBy("pair", "side").agg(F.max("d").alias("m")).collect()}
+    bars = [(k, side, top[k, side], top[k, 1 - side]) for k, side in top if (k, 1 - side) in top]
+    bars = F.broadcast(spark.createDataFrame(bars, "pair int, side int, own bigint, other bigint"))
+    live = d.join(bars, ["pair", "side"]).filter("d + other > 0")
+    if limit == 1 and "weight" not in edges.columns:  # the two largest give the sum of tops or 2 less: nothing below that can win
+        live = live.filter("d >= own - 2")
+    a, b = (live.filter(F.col("side") == k).select(F.col("vertex").alias(v), F.col("pair").alias(f"{v}_pair")) for k, v in ((0, "src"), (1, "dst")))
+    links = edges.join(a, "src").join(b, "dst").filter("src_pair = dst_pair").groupBy("src_pair", "src", "dst").agg(F.sum(weight_of(edges)).alias("w"))
+    rows = live.select("pair", "vertex", "d", "side", F.lit(None).cast("bigint").alias("dst")).union(links.select("src_pair", "src", "w", F.lit(-1), "dst"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf[pdf["side"] == -1]
+        joined = dict(zip(zip(e["vertex"].astype(int), e["dst"].astype(int), strict=True), e["d"].astype(int), strict=True))
+        picks = pick_swaps(pdf[pdf["side"] == 0], pdf[pdf["side"] == 1], joined, limit)
+        return pd.DataFrame([(*pairs[key[0]], i, *x) for i, x in enumerate(picks)], columns=["p", "q", "pick", "a", "b", "gain"])
+
+    ship_package(spark)
+    return rows.groupBy("pair").applyInPandas(run, "p int, q int, pick bigint, a bigint, b bigint, gain bigint")
+
+
+def pair_swaps(edges: DataFrame, parts: DataFrame, p: int, q: int, limit: int | None = None) -> DataFrame:
+    """(pick, a, b, gain) of the greedy swaps between parts p and q."""
+    return wave_swaps(edges, parts, [(p, q)], limit).drop("p", "q")
+
+
+def swap(parts: DataFrame, swaps: DataFrame, p: int | None = None, q: int | None = None) -> DataFrame:
+    """``parts`` with the labels of the pairs (a in p, b in q) exchanged; p and q may be columns of ``swaps``."""
+    to_a, to_b = (F.col(c) if k is None else F.lit(k) for c, k in (("q", q), ("p", p)))
+    moves = swaps.select(F.col("a").alias("vertex"), to_a.alias("_to")).union(swaps.select(F.col("b").alias("vertex"), to_b.alias("_to")))
     return parts.join(moves, "vertex", "left").select("vertex", F.coalesce("_to", "part").cast("int").alias("part"))
 
 
 def refine(edges: DataFrame, parts: DataFrame, n: int, update_d: bool = False) -> DataFrame:
-    """Each pair p < q once: greedy swaps with fixed D, then all labels exchanged.
+    """Each pair p < q once, in order: greedy swaps with fixed D, then all labels exchanged.
 
-    ``update_d``: one swap at a time with fresh D, until no gain is positive.
+    ``update_d``: one swap of a pair at a time with fresh D, until no gain is
+    positive. Pairs of one sum p + q share no part, and a vertex's D depends on
+    its neighbours' being in its own part or not, so they don't touch each
+    other: such pairs are one wave of tasks, and 2 n - 3 waves give what all
+    pairs one after another would.
     """
     parts = materialize(parts.select("vertex", "part"), "parts")
-    for p in range(n):
-        for q in range(p + 1, n):
-            while True:
-                swaps = materialize(pair_swaps(edges, parts, p, q, 1 if update_d else None), "swaps")
-                some = swaps.limit(1).count()
-                if some:
-                    parts = materialize(swap(parts, swaps, p, q), "parts")
-                if not update_d or not some:
-                    break
+    for total in range(1, 2 * n - 2):
+        wave = [(p, total - p) for p in range(n) if p < total - p < n]
+        while wave:
+            swaps = materialize(wave_swaps(edges, parts, wave, 1 if update_d else None), "swaps")
+            wave = [(r["p"], r["q"]) for r in swaps.select("p", "q").distinct().collect()]  # at most a row a pair
+            if wave:
+                old, parts = parts, materialize(swap(parts, swaps), "parts")
+                discard(old)
+            discard(swaps)
+            if not update_d:
+                break
     return parts
 
 
+def merge_parts(vectors: DataFrame) -> DataFrame:
+    """(vertex, part) of partition vectors (vertex, worker, part): of what is assigned the last worker's wins, null or negative is unassigned."""
+    given = F.when(F.col("part") >= 0, F.col("worker"))
+    return vectors.groupBy("vertex").agg(F.max_by("part", given).alias("part"))
+
+
 def matching_round(edges: DataFrame, seed: str = "") -> DataFrame:
     """(vertex, mate) of one handshake: each vertex points to its neighbour with the least md5, mutual ones match."""
     rank = F.struct(F.md5(F.concat(F.col("dst").cast("string"), F.lit(seed)).cast("binary")).alias("h"), F.col("dst").alias("u"))
@@ -130,16 +157,21 @@ def matching_round(edges: DataFrame, seed: str = "") -> DataFrame:
     return to.join(back, ["vertex", "mate"])
 
 
-def match_vertices(edges: DataFrame, seed: str = "", max_rounds: int = 50) -> DataFrame:
-    """(vertex, mate): handshakes until none is left; unmatched vertices are their own mates."""
-    verts, left, found = materialize(vertices(edges), "vertices"), edges.select("src", "dst"), None
-    for i in range(max_rounds):
+def match_vertices(edges: DataFrame, seed: str = "") -> DataFrame:
+    """(vertex, mate): handshakes until none is left; unmatched vertices are their own mates.
+
+    The vertex of least rank among those left and its own choice point to each
+    other, so every round matches some while there are edges.
+    """
+    verts, left, found, i = materialize(vertices(edges), "vertices"), edges.select("src", "dst"), None, 0
+    while True:
         one = materialize(matching_round(left, f"{seed}{i}" if seed or i else ""), "mates")
         if not one.limit(1).count():
             break
-        found = one if found is None else found.union(one)
+        found, i = one if found is None else found.union(one), i + 1
         gone = one.select("vertex")
-        left = materialize(left.join(gone.withColumnRenamed("vertex", "src"), "src", "left_anti").join(gone.withColumnRenamed("vertex", "dst"), "dst", "left_anti"), "left")
+        old, left = left, materialize(left.join(gone.withColumnRenamed("vertex", "src"), "src", "left_anti").join(gone.withColumnRenamed("vertex", "dst"), "dst", "left_anti"), "left")
+        discard(old)
     if found is None:
         return verts.withColumn("mate", F.col("vertex"))
     return verts.join(found, "vertex", "left").select("vertex", F.coalesce("mate", "vertex").alias("mate"))
@@ -154,14 +186,18 @@ def coarse_map(mates: DataFrame) -> DataFrame:
 
 def contract(edges: DataFrame, cmap: DataFrame) -> DataFrame:
     """(src, dst, weight) between coarse vertices: weights added up, inner edges dropped."""
-    w = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1).cast("bigint"))
+    w = edges.select("src", "dst", weight_of(edges).alias("weight"))
     s, d = (cmap.select(F.col("vertex").alias(k), F.col("coarse").alias(f"c_{k}")) for k in ("src", "dst"))
     return w.join(s, "src").join(d, "dst").filter("c_src <> c_dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
 def multilevel(edges: DataFrame, parts: int, levels: int = 2, coarsen_to: int = 100, shrink: float = 0.85) -> DataFrame:
-    """(vertex, part): coarsen, partition the coarsest graph, project back and refine on each level."""
-    graphs, maps = [materialize(edges.select("src", "dst"), "level")], []
+    """(vertex, part): coarsen, partition the coarsest graph, project back and refine on each level.
+
+    Merged edges keep their added weight on the coarser levels, so a cut there is
+    the cut of the projected partition. Symmetric ``edges``.
+    """
+    graphs, maps = [materialize(edges.select("src", "dst", weight_of(edges).alias("weight")), "level")], []
     n = vertices(graphs[0]).count()
     for _ in range(levels):
         if n <= coarsen_to:
@@ -171,7 +207,7 @@ def multilevel(edges: DataFrame, parts: int, levels: int = 2, coarsen_to: int =
         if smaller > shrink * n:
             break
         maps.append(cmap)
-        graphs.append(materialize(contract(graphs[-1], cmap).select("src", "dst"), "level"))
+        graphs.append(materialize(contract(graphs[-1], cmap), "level"))
         n = smaller
     if maps:  # coarse vertices whose every edge was contracted still get a part
         where = maps[-1].select(F.col("coarse").alias("vertex")).distinct().withColumn("part", key_part("vertex", parts))
@@ -184,6 +220,12 @@ def multilevel(edges: DataFrame, parts: int, levels: int = 2, coarsen_to: int =
     return where
 
 
-def refine_then_rank(edges: DataFrame, parts: int, iterations: int = 2) -> DataFrame:
-    """(vertex, part, rank) after refinement of the initial parts and PageRank."""
-    return refine(edges, initial_parts(edges, parts), parts).join(pagerank(edges, iterations), "vertex")
+def multilevel_then_rank(edges: DataFrame, parts: int, iterations: int = 2, **options) -> DataFrame:
+    """(vertex, part, rank): ``multilevel``, then PageRank of the graph."""
+    return multilevel(edges, parts, **options).join(pagerank(edges, iterations), "vertex")
+
+
+def refine_then_rank(edges: DataFrame, parts: int, iterations: int = 2, width: int | None = None) -> DataFrame:
+    """(vertex, part, rank) after refinement of the initial parts and PageRank; ``width``: by shards, with (shard) too."""
+    ranks = pagerank(edges, iterations) if width is None else sharded_pagerank(edges, width, iterations)
+    return refine(edges, initial_parts(edges, parts), parts).join(ranks, "vertex")

@@ -79,12 +79,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], label: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written in buckets of ``keys`` and sorted by them, a file a bucket: joins on ``keys`` don't shuffle it again."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, name = scratch(spark, label), f"tessera_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, *keys)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._scratch_path, out._scratch_table = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing will read again; other frames are left alone."""
+    """Delete tables that ``materialize`` or ``bucketed`` wrote and nothing will read again; other frames are left alone."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path in _written:
             _written.remove(path)
+            if name := getattr(df, "_scratch_table", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             _delete(df.sparkSession, path)
 
 
