@@ -65,6 +65,28 @@ def test_line_dedup_edges(edge, broadcast_bytes):
     assert by[4] == [("", 1, 0)] and by[5] == [(None, 0, 0)] and by[7] == [("\n\n \t", 3, 0)]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_line_dedup_against_plain_python(spark, broadcast_bytes):
+    import random
+
+    rng = random.Random(2)
+    data = []
+    for i in range(400):
+        host = "hot" if i % 3 else (None if i % 9 == 0 else f"h{i % 40}")
+        lines = [f"  {rng.choice(['menu', 'imprint', 'é', 'contact'])} {rng.randrange(3)}\t" if rng.random() < 0.5 else f"text {rng.randrange(10**6)}" for _ in range(rng.randrange(12))]
+        data.append((i, None if i % 50 == 7 else "\n".join(lines), host))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(6)
+    trim = lambda x: x.strip(" \t\r\f\v")
+    pages, has = Counter(h for _, _, h in data), Counter()
+    for _, t, h in data:
+        has.update((h, x) for x in {trim(x) for x in (t or "").split("\n")} if x)
+    bad = {k for k, n in has.items() if n >= 3 and n > 0.05 * pages[k[0]]}
+    assert len(bad) > 5
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if (h, trim(x)) not in bad) for i, t, h in data}
+    got = line_dedup.drop_boilerplate(df, ratio=0.05, min_pages=3, broadcast_bytes=broadcast_bytes).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -242,6 +264,85 @@ def test_cards_beside_other_numbers(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymize(hidden, inverse=True).collect()} == dict(enumerate(texts))
 
 
+def plain_feistel(a, b, x, y, salt, key):
+    for i in range(10):
+        half = y if i % 2 == 0 else x
+        h = int(hashlib.sha256(f"{key}/{salt}/{i}/{half}/{key}".encode()).hexdigest()[:15], 16)
+        x, y = ((x + h) % a, y) if i % 2 == 0 else (x, (y + h) % b)
+    return x, y
+
+
+def plain_digits(d, salt, key):
+    u = len(d) // 2
+    x, y = plain_feistel(10**u, 10 ** (len(d) - u), int(d[:u]), int(d[u:]), salt, key)
+    return f"{x:0{u}d}{y:0{len(d) - u}d}"
+
+
+def plain_refill(value, d):
+    it = iter(d)
+    return "".join(next(it) if c.isdigit() else c for c in value)
+
+
+def plain_mailbox(value, key):
+    import string
+
+    name, rest = value.split("@", 1)
+    x, y = name[: len(name) // 2], name[len(name) // 2 :]
+
+    def shifted(half, other, i):
+        out = []
+        for j, c in enumerate(half):
+            h = int(hashlib.sha256(f"{key}/mail/{i}.{j}/{other}/{key}".encode()).hexdigest()[:15], 16)
+            abc = next((k for k in (string.ascii_lowercase, string.ascii_uppercase, string.digits) if c in k), None)
+            out.append(abc[(abc.index(c) + h) % len(abc)] if abc else c)
+        return "".join(out)
+
+    for i in range(10):
+        x, y = (shifted(x, y, i), y) if i % 2 == 0 else (x, shifted(y, x, i))
+    return f"{x}{y}@{rest}"
+
+
+def test_pseudonyms_are_those_of_a_plain_feistel_network(spark, tmp_path):
+    import datetime
+    import random
+
+    rng, key, want = random.Random(7), "k-42", []
+    for _ in range(60):
+        body = "".join(rng.choices("0123456789", k=rng.choice((14, 15, 15, 15))))
+        card = next(body + c for c in "0123456789" if luhn(body + c))
+        new = plain_digits(body, "card", key)
+        new = next(new + c for c in "0123456789" if luhn(new + c))
+        want.append((card, new))
+        if len(card) == 16:
+            want.append((" ".join(re.findall("....", card)), plain_refill("dddd dddd dddd dddd".replace("d", "0"), new)))
+        octets = [rng.randrange(256) for _ in range(4)]
+        x, y = plain_feistel(1 << 16, 1 << 16, octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], "ip", key)
+        want.append((".".join(map(str, octets)), f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"))
+        day = rng.randrange(73049)
+        x, y = plain_feistel(17, 4297, day // 4297, day % 4297, "date", key)
+        first = datetime.date(1900, 1, 1)
+        old, moved = (first + datetime.timedelta(days=n) for n in (day, x * 4297 + y))
+        want += [(f"{old:{f}}", f"{moved:{f}}") for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")]
+        d = "".join(rng.choices("0123456789", k=10))
+        want.append((f"({d[:3]}) {d[3:6]}-{d[6:]}", plain_refill(f"({d[:3]}) {d[3:6]}-{d[6:]}", plain_digits(d, "phone", key))))
+        want.append((f"+49{d}", "+49" + plain_digits(d, "phone", key)))
+        d = "".join(rng.choices("0123456789", k=9))
+        want.append((f"{d[:3]}-{d[3:5]}-{d[5:]}", plain_refill(f"{d[:3]}-{d[3:5]}-{d[5:]}", plain_digits(d, "social", key))))
+        name = "".join(rng.choices("abcXYZ019._-", k=rng.randint(1, 12)))
+        want.append((f"{name}@mail.example.com", plain_mailbox(f"{name}@mail.example.com", key)))
+    rows_ = [(i, f"see {a}, please") for i, (a, _) in enumerate(want)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(8)
+    (tmp_path / "key").write_text(key + "\n")
+    hidden = pii.pseudonymize(df, key_file=f"file://{tmp_path}/key")
+    for r in hidden.collect():
+        assert r["text"] == f"see {want[r['doc_id']][1]}, please", want[r["doc_id"]]
+    assert key not in hidden._jdf.queryExecution().toString()
+    assert rows(pii.pseudonymize(df, key=key), "doc_id", "text") == rows(hidden, "doc_id", "text")
+    (tmp_path / "none").write_text("")
+    with pytest.raises(Exception, match="holds no key"):
+        pii.pseudonymize(df, key_file=f"file://{tmp_path}/none").collect()
+
+
 def test_dates_permute(spark):
     days = spark.range(73049).selectExpr("id AS doc_id", "date_format(date_add(DATE'1900-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text")
     out = pii.pseudonymize(days.filter("doc_id % 11 = 0"))
@@ -357,6 +458,18 @@ def direct_ids(t, cache={}):
     return cache["t"].encode(t, add_special_tokens=False).ids
 
 
+def test_files_roll(spark, docs, monkeypatch):
+    want = rows(bitplanes.round_trip(docs), "doc_id", "start", "n_tokens", "ids_crc32")
+    from tessera.session import scratch
+
+    for name, value in (("ROLL_IDS", 5000), ("ROLL_DOCS", 7)):
+        monkeypatch.setattr(bitplanes, name, value)
+        files = bitplanes.write_ids(docs, scratch(spark, "rolled"))
+        assert len(files) > 8 and sum(n for _, n, _ in files) == docs.count()
+        assert rows(bitplanes.read_ids(spark, files), "doc_id", "start", "n_tokens", "ids_crc32") == want
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 def test_bitplane_files(spark, edge, docs, unit):
     for df in (edge, docs):
@@ -496,6 +609,11 @@ def demand_time(share, slope):
     return low
 
 
+def test_mix_sql(spark, sf):
+    assert_same(spark, sf, queries.op9_curriculum_mix, queries.oracle_sql()["op9_curriculum_mix"])
+    assert_same(spark, sf.replace("0.001", "0.01"), queries.op9_curriculum_mix, queries.oracle_sql()["op9_curriculum_mix"])
+
+
 def test_mix_places_every_copy(spark):
     data = [(i, f"{'abc'[i % 3]}{i} " + "w " * (i % 7), "abc"[i % 3]) for i in range(90)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
