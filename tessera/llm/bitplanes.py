@@ -31,6 +31,8 @@ from .tokens import default_path, encoder
 MAGIC = b"TBPL0001"
 BLOCK = 1 << 16
 END_ID = 2
+#: Ids and documents after which a file ends and the next one begins.
+ROLL_IDS, ROLL_DOCS = 1 << 26, 1 << 18
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -52,16 +54,17 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 
 class Writer:
-    """Writes documents' ids to a file; memory is one block and the document table."""
+    """Writes documents' ids to a file; memory is one block, a document and the file's table of documents."""
 
     def __init__(self, sink, unit: str = "byte", block: int = BLOCK) -> None:
         self.sink, self.unit, self.block = sink, unit, block
         self.compress = zstandard.ZstdCompressor(level=3).compress
         self.at = sink.write(MAGIC) or len(MAGIC)
-        self.at, self.open, self.blocks, self.docs = len(MAGIC), bytearray(), [], []
+        self.at, self.open, self.blocks, self.docs, self.ids = len(MAGIC), bytearray(), [], [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id, len(ids) // 4))
+        self.ids += len(ids) // 4
         self.open += ids
         while len(self.open) >= 4 * self.block:
             self._flush(4 * self.block)
@@ -79,7 +82,7 @@ class Writer:
             self._flush(len(self.open))
         foot = self.compress(json.dumps({"blocks": self.blocks, "docs": self.docs}).encode())
         self.sink.write(foot + struct.pack("<I", len(foot)) + MAGIC)
-        return sum(n for _, n in self.docs)
+        return self.ids
 
 
 class Reader:
@@ -125,8 +128,9 @@ class Reader:
 def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, unit: str = "byte") -> list[tuple[str, int, int]]:
     """Encode every text and write the files of ``folder`` in ascending doc_id order.
 
-    Returns (path, documents, ids) of the files in order: a row a file, and a
-    file a range of doc_id. Null texts count as empty and give the end id alone;
+    Returns (path, documents, ids) of the files in order: a row a file. A range
+    of doc_id is a file, or several of at least ROLL_IDS ids or ROLL_DOCS
+    documents each, so a file's table stays bounded. Null texts count as empty and give the end id alone;
     null doc_ids come first; rows with one doc_id are ordered by their text. A
     file's name holds a fresh mark, and only files of tasks that ended count, so
     a task that is run again does no harm.
@@ -137,24 +141,30 @@ def write_ids(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sink, writer = TaskContext.get().partitionId(), None, None
-        encode = encoder(path)
+        part, turn, sink, writer, encode = TaskContext.get().partitionId(), 0, None, None, encoder(path)
+
+        def closed() -> pa.RecordBatch:
+            n = writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "turn": [turn], "name": [name], "docs": [len(writer.docs)], "ids": [n]})
+
         for b in batches:
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 if writer is None:
                     fs, at = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(at, recursive=True)
-                    name = f"ids-{part:06d}-{uuid.uuid4().hex}.planes"
+                    name = f"ids-{part:06d}-{turn:06d}-{uuid.uuid4().hex}.planes"
                     sink = fs.open_output_stream(f"{at}/{name}")
                     writer = Writer(sink, unit)
                 writer.add(d.as_py(), encode(t.as_py()) + end)
+                if writer.ids >= ROLL_IDS or len(writer.docs) >= ROLL_DOCS:
+                    yield closed()
+                    writer, turn = None, turn + 1
         if writer is not None:
-            n = writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(writer.docs)], "ids": [n]})
+            yield closed()
 
-    found = mapped(rows, run, "part long, name string, docs long, ids long").collect()
-    return [(f"{folder}/{r['name']}", r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["part"])]
+    found = mapped(rows, run, "part long, turn long, name string, docs long, ids long").collect()
+    return [(f"{folder}/{r['name']}", r["docs"], r["ids"]) for r in sorted(found, key=lambda r: (r["part"], r["turn"]))]
 
 
 def read_ids(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
