@@ -32,6 +32,11 @@ def n_words(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def _stream_hash(doc_id: Column) -> Column:
+    """60 bits that order a source's stream: the first of the MD5 of the decimal doc_id."""
+    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, weight, slope, target) of documents (source, size).
 
@@ -81,13 +86,12 @@ def curriculum(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     (hash, doc_id, text hash); rows equal in all of these are alike in all but
     the split between them.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(doc_id)).alias("h"), F.xxhash64(F.col(text)).alias("th"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), _stream_hash(F.col(doc_id)).alias("h"), F.xxhash64(F.col(text)).alias("th"))
     d = materialize(d, "sizes")
     targets = source_targets(d.select("source", "size"))
     buckets = 4 * shuffle_parts(docs.sparkSession)
-    # the hash, shifted to an unsigned share of its range, picks the bucket; buckets follow the hash's order
-    share = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    d = d.withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+    # the hash, as a share of its range, picks the bucket; buckets follow the hash's order
+    d = d.withColumn("bucket", F.least(F.floor(F.col("h") / F.lit(2.0**60) * buckets), F.lit(buckets - 1)).cast("int"))
     d = exclusive_prefix(d, "bucket", [F.col("h"), F.col("doc_id"), F.col("th")], "size", "before", within=("source",))
     t = targets.select(F.col("source").alias("_source"), "source_size", "slope", "target", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_salt"))
     d = d.withColumn("_s", F.pmod(F.col("h"), F.lit(64)).cast("int"))

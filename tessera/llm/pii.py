@@ -48,8 +48,8 @@ def _q(pattern: str) -> str:
 
 
 def _hash(key: str, salt: str, i: str, half: str) -> str:
-    """60 keyed bits of the round number and one half."""
-    return f"CAST(conv(substr(sha2(concat('{key}', '/{salt}/', {i}, '/', {half}, '/{key}'), 256), 1, 15), 16, 10) AS BIGINT)"
+    """60 keyed bits of the round number and one half; ``key``: the column that holds the key."""
+    return f"CAST(conv(substr(sha2(concat({key}, '/{salt}/', {i}, '/', {half}, '/', {key}), 256), 1, 15), 16, 10) AS BIGINT)"
 
 
 def _feistel(left: str, right: str, a: str, b: str, key: str, salt: str, inverse: bool) -> str:
@@ -160,20 +160,28 @@ def _pseudonym(m: str, key: str, inverse: bool) -> str:
     return "CASE " + " ".join(f"WHEN {full(k)} THEN {cases[k]}" for k in PATTERNS if k != "card") + f" ELSE {cases['card']} END"
 
 
-def pseudonymize(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: str | None = None, key_file: str | None = None, inverse: bool = False) -> DataFrame:
     """(doc_id, text, n_found, n_replaced): texts with personal values permuted within their format.
 
     Values found but not valid (a card number without its Luhn digit, a day that
     doesn't exist) stay as they are. A null text stays null, with counts 0; an
     empty one stays empty. Rows are handled each on its own. ``inverse`` gives
-    the original texts back under the same key. The key must consist of letters,
-    digits and dashes.
+    the original texts back under the same key. Very long texts are arrays of
+    their found values and the pieces between them, inside their row.
+
+    ``key_file``: a text file whose first line is the key; the plan holds the
+    file's path only, so the key comes into no plan, log or user interface. A
+    ``key`` given as a value, or the demo key where none is given, stands in the
+    plan.
     """
-    if not key or not key.replace("-", "").isalnum():
-        raise ValueError("the key must consist of letters, digits and dashes")
+    if key_file:
+        first = docs.sparkSession.read.text(key_file).filter("value <> ''").limit(1).scalar()
+        secret = F.coalesce(first, F.raise_error(F.lit("the key file holds no key")))
+    else:
+        secret = F.lit(key or KEY)
     every = _q("|".join(PATTERNS.values()))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), secret.alias("k"))
     d = d.withColumn("m", F.expr(f"CASE WHEN t RLIKE '[0-9@]' THEN regexp_extract_all(t, {every}, 0) ELSE CAST(array() AS ARRAY<STRING>) END"))
-    d = d.withColumn("p", F.expr(f"transform(m, v -> {_pseudonym('v', key, inverse)})"))
-    filled = f"CASE WHEN size(m) = 0 THEN t ELSE {let('g', f'split(t, {every}, -1)', 'array_join(transform(g, (x, k) -> concat(x, coalesce(get(p, k), get(m, k), ' + repr('') + '))), ' + repr('') + ')')} END"
+    d = d.withColumn("p", F.expr(f"transform(m, v -> {_pseudonym('v', 'k', inverse)})"))
+    filled = f"CASE WHEN size(m) = 0 THEN t ELSE {let('g', f'split(t, {every}, -1)', 'array_join(transform(g, (x, gk) -> concat(x, coalesce(get(p, gk), get(m, gk), ' + repr('') + '))), ' + repr('') + ')')} END"
     return d.select("doc_id", F.expr(filled).alias("text"), F.size("m").cast("long").alias("n_found"), F.expr("CAST(size(filter(p, v -> v IS NOT NULL)) AS BIGINT)").alias("n_replaced"))
