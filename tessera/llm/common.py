@@ -83,3 +83,31 @@ def exclusive_prefix(df: DataFrame, part: str, order: list[Column], value: str,
     summed = df.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     on = [summed[k].eqNullSafe(bases[f"_b_{k}"]) for k in keys]
     return summed.join(bases, on).withColumn(out, F.col("_base") + F.col("_local")).drop("_local", "_base", *[f"_b_{k}" for k in keys])
+
+
+def hot_keys(rows: DataFrame, key: str, how_many: int) -> DataFrame:
+    """(_hot, _slices) of the values of ``key`` with more of ``how_many`` rows than a task's even share, to be broadcast.
+
+    No more keys than there are tasks can have so many rows.
+    """
+    most = max(1, how_many // shuffle_parts(rows.sparkSession))
+    counts = rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_c")).filter(F.col("_c") > most)
+    return F.broadcast(counts.select("_hot", F.ceil(F.col("_c") / most).cast("int").alias("_slices")))
+
+
+def dealt(rows: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``_slice``: a hot key's rows are dealt out by a hash of column ``spread``."""
+    j = rows.join(hot, rows[key] == hot["_hot"], "left")
+    return j.withColumn("_slice", F.pmod(F.xxhash64(spread), F.coalesce("_slices", F.lit(1))).cast("int")).drop("_hot", "_slices")
+
+
+def copied(table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``table``, which has one row a key, with a row for each ``_slice`` of a key."""
+    j = table.join(hot, table[key] == hot["_hot"], "left")
+    return j.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_hot", "_slices")
+
+
+def sliced_join(rows: DataFrame, table: DataFrame, key: str, spread: str, how_many: int) -> DataFrame:
+    """``rows`` joined on ``key`` with ``table``, which has one row a key, while ``rows`` may have very many of one."""
+    hot = hot_keys(rows, key, how_many)
+    return dealt(rows, key, spread, hot).join(copied(table, key, hot), [key, "_slice"]).drop("_slice")

@@ -18,7 +18,8 @@ passages and lines that many documents share stay out of the prefixes.
    work: whatever it leaves unlinked is left to the next step.
 4. What is left are pairs of different components. Their groups are joined on
    shingles that stand early enough in both orders for the pair's sizes, then
-   expanded to members. Pairs whose parity sketches differ in more bits than
+   expanded to members; inside a group, members are paired by what follows
+   their prefix. Pairs whose parity sketches differ in more bits than
    linked sets can differ in members go; the others are verified. Pairs inside
    a component cannot change any class and are never formed.
 
@@ -39,11 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, exclusive_prefix, mapped, materialize, range_ordered, shuffle_parts
+from .common import copied, dealt, discard, exclusive_prefix, hot_keys, mapped, materialize, range_ordered, shuffle_parts, sliced_join
 
 WORDS, PERCENT = 5, 75
-#: Size of the table of shingle counts: bounded, whatever the corpus.
-TABLE, CHUNKS = 1 << 19, 64
+#: The table of shingle counts has a slot a row of the corpus, rounded up to a power of two and to between these two
+#: powers: at most 32 MB, whatever the corpus. It only orders shingles; its size changes no result.
+TABLE_BITS, CHUNKS = (19, 23), 64
 #: A shingle's stars drawn by hash, besides the one that has it earliest.
 DRAWS = 1
 #: A group meets a star only if it shares one in so many of its prefix shingles with it.
@@ -207,21 +209,21 @@ def _parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, SKETCH)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) & (TABLE - 1)
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (slots - 1)
 
 
-def _survey(texts: DataFrame, words: int) -> DataFrame:
+def _survey(texts: DataFrame, words: int, slots: int) -> DataFrame:
     """Rows (doc_id, n, a, b, p0, p1, ...) of all documents, p being the sketch, and each task's shingle counts as rows (chunk, task, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting = np.zeros(TABLE, np.int64), []
+        counts, waiting = np.zeros(slots, np.int64), []
         for b in batches:
             n, x, y, sketch = [], [], [], [np.zeros((0, SKETCH), np.int64)]
             for flat, ends in shingle_sets(_slices(b.column(1)), words):
-                waiting.append(_slot(flat))
-                if sum(map(len, waiting)) > TABLE:
-                    counts += np.bincount(np.concatenate(waiting), minlength=TABLE)
+                waiting.append(_slot(flat, slots))
+                if sum(map(len, waiting)) > slots:
+                    counts += np.bincount(np.concatenate(waiting), minlength=slots)
                     waiting = []
                 p, q = _signatures(flat, ends)
                 n.append(np.diff(ends, prepend=0))
@@ -232,8 +234,8 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
             if k:
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(c)) for c in (n, x, y)], *[pa.array(c) for c in np.concatenate(sketch).T.copy()], pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         for w in waiting:
-            counts += np.bincount(w, minlength=TABLE)
-        task, part = TaskContext.get().partitionId(), TABLE // CHUNKS
+            counts += np.bincount(w, minlength=slots)
+        task, part = TaskContext.get().partitionId(), slots // CHUNKS
         for c in range(CHUNKS):
             if (own := counts[c * part : (c + 1) * part]).any():
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + SKETCH), pa.array([c], pa.int32()), pa.array([task], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
@@ -243,8 +245,8 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
     return mapped(texts, run, ", ".join(f"{c} long" for c in longs) + ", chunk int, task int, counts binary")
 
 
-def _table(survey: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up, in two levels; TABLE numbers reach the driver."""
+def _table(survey: DataFrame, slots: int) -> np.ndarray:
+    """The counts of all tasks added up, in two levels; ``slots`` numbers reach the driver."""
 
     def add(kind: str):
         def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -255,23 +257,53 @@ def _table(survey: DataFrame) -> np.ndarray:
 
     parts = survey.filter("chunk IS NOT NULL").select("chunk", (F.col("task") % 64).alias("lot"), "counts")
     first = parts.groupBy("chunk", "lot").applyInArrow(add("<u4"), "chunk int, counts binary")
-    out = np.zeros(TABLE, np.int64)
+    out = np.zeros(slots, np.int64)
     for r in first.groupBy("chunk").applyInArrow(add("<i8"), "chunk int, counts binary").collect():
-        part = TABLE // CHUNKS
+        part = slots // CHUNKS
         out[r["chunk"] * part : (r["chunk"] + 1) * part] = np.frombuffer(r["counts"], "<i8")
     return out
 
 
+def _sent(texts: DataFrame, table: np.ndarray):
+    """The table of counts as a broadcast of 4 bytes a slot."""
+    return texts.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
+
+
+def _seconds(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(node, token): the shingles that follow each document's prefix in the common order, as many as two linked sets of its size with one prefix share one of."""
+    shared = _sent(texts, table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            at = 0
+            for flat, ends in shingle_sets(_slices(batch.column(1)), words):
+                start, found = 0, []
+                for end in ends:
+                    own = flat[start:end]
+                    n, p = len(own), prefix_size(len(own), percent)
+                    both = -(-2 * percent * n // (100 + percent))  # least intersection of two linked sets of n
+                    order = np.argsort(counts[_slot(own, len(counts))], kind="stable")[p : n - both + 1 + p] if n else []
+                    found.append(own[order])
+                    start = end
+                nodes = np.repeat(np.arange(at, at + len(ends)), [len(f) for f in found])
+                if len(nodes):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(nodes)), pa.array(np.concatenate(found).view(np.int64))], ["node", "token"])
+                at += len(ends)
+
+    return mapped(texts, run, "node long, token long")
+
+
 def _prefixes(texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
     """(a, b, n, gid, prefix) of the classes; a task gives each of its classes once."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
+    shared = _sent(texts, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
             for flat, ends in shingle_sets(_slices(batch.column(1)), words):
                 a, b = _signatures(flat, ends)
-                weight = counts[_slot(flat)]
+                weight = counts[_slot(flat, len(counts))]
                 firsts, rows, start = [], [], 0
                 for k, end in enumerate(ends):
                     if end > start and (sig := (a[k], b[k])) not in seen:
@@ -366,14 +398,17 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
     """The pairs (x, y) of documents whose sets have 100 * intersection >= percent * union.
 
     Sets are computed anew, from the whole texts of the pairs' documents only.
-    Only the sets of x travel with their pairs and those of y once each.
+    Only the sets of x travel with their pairs; those of y travel once each, or
+    once a slice of a y with very many pairs.
     """
     pairs = materialize(pairs, "pairs")
+    hot = hot_keys(pairs, "y", pairs.count())
     side = {}
     for k in "xy":
         ids = _small(pairs.select(F.col(k).alias("doc_id")).distinct())
         side[k] = _sets(texts.join(ids, "doc_id", "left_semi"), words).select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}"))
-    j = side["x"].join(_small(pairs), "x").join(side["y"], "y").withColumn("_i", F.size(F.array_intersect("_x", "_y")))
+    met = side["x"].join(_small(dealt(pairs, "y", "x", hot)), "x").join(copied(side["y"], "y", hot), ["y", "_slice"])
+    j = met.withColumn("_i", F.size(F.array_intersect("_x", "_y")))
     return j.filter(F.col("_i") * 100 >= (F.size("_x") + F.size("_y") - F.col("_i")) * percent).select("x", "y")
 
 
@@ -381,18 +416,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of links (x, y); comp: the component's smallest node.
 
     Each round gives a node the least label among its own, its neighbours' and
-    the label of its label, so labels travel in doubling steps.
+    the label of its label, so labels travel in doubling steps. Nodes of many
+    links and labels of many nodes are dealt to several tasks.
     """
-    both = materialize(links.select("x", "y").union(links.select("y", "x").toDF("x", "y")), "links")
-    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("comp")), "labels")
+    ends = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    both = materialize(links.select(ends.alias("e")).select("e.*"), "links")
+    old, labels = None, materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("comp")), "labels")
+    n_links, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("near"))
+        near = sliced_join(both, labels.select(F.col("node").alias("y"), "comp"), "y", "x", n_links).groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("near"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = labels.join(up, "comp").join(near, "node").select("node", F.least("comp", "up", "near").alias("new"), "comp")
+        new = sliced_join(labels, up, "comp", "node", n_nodes).join(near, "node").select("node", F.least("comp", "up", "near").alias("new"), "comp")
         new = materialize(new, "labels")
+        discard(old if old is not None else labels)
         if not new.filter("new <> comp").limit(1).count():
+            discard(both)
             return new.select("node", "comp")
-        labels = new.select("node", F.col("new").alias("comp"))
+        old, labels = new, new.select("node", F.col("new").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -407,10 +447,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     long texts are hashed a block at a time; one set is in memory at once.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = materialize(_survey(texts, words), "survey")
+    slots = 1 << min(max(texts.count().bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    survey = materialize(_survey(texts, words, slots), "survey")
     rows = survey.filter("chunk IS NULL").select("doc_id", "n", "a", "b")
     classes = materialize(rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")), "classes")
-    prefixes = materialize(_prefixes(texts, _table(survey), words, percent), "prefixes")
+    table = _table(survey, slots)
+    prefixes = materialize(_prefixes(texts, table, words, percent), "prefixes")
     # a class may have come from several tasks; its node is one
     members = materialize(prefixes.select("a", "b", "n", "gid").distinct().join(classes, ["a", "b", "n"]).select("gid", "node", "n"), "members")
     shared = materialize(_shared(prefixes), "shared")
@@ -422,7 +464,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = materialize(verified(_close(_stars(alone, percent).union(own), sketched, percent), texts, words, percent), "stars")
     labels = components(links)
     named = _named(members, labels)
-    late = materialize(verified(_close(_across(shared, named, percent), sketched, percent), texts, words, percent), "across")
+    pairs = _across(shared, named, percent).union(_inside(named, texts, table, words, percent)).distinct()
+    late = materialize(verified(_close(pairs, sketched, percent), texts, words, percent), "across")
     if late.limit(1).count():
         labels = components(links.union(late))
     final = classes.join(labels, "node", "left").select("a", "b", "n", F.coalesce("comp", "node").alias("comp"))
@@ -480,23 +523,33 @@ def _across(shared: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 
     Linked sets have a shingle in common that stands in both orders before the
     last need - 1, need being the least intersection for their sizes. For the
-    smaller of the two sets that is a short piece of its prefix.
+    smaller of the two sets that is a short piece of its prefix. Those of one
+    group are left to ``_inside``.
     """
     live = _live(shared, named).select("token", "gid", "comp", "n", "pos").withColumn("band", _band("n", percent))
     x, y = (live.select("token", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos")]) for k in "xy")
     x = x.filter(F.col("pos_x") <= F.col("n_x") - _need("n_x", "n_x", percent)).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     need = _need("n_x", "n_y", percent)
     once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("comp_x") < F.col("comp_y")))
-    met = x.join(y, ["token", "band"]).filter((F.col("comp_x") != F.col("comp_y")) & once & (F.col("pos_x") <= F.col("n_x") - need) & (F.col("pos_y") <= F.col("n_y") - need))
+    met = x.join(y, ["token", "band"]).filter((F.col("gid_x") != F.col("gid_y")) & (F.col("comp_x") != F.col("comp_y")) & once & (F.col("pos_x") <= F.col("n_x") - need) & (F.col("pos_y") <= F.col("n_y") - need))
     pairs = materialize(met.select("gid_x", "comp_x", "gid_y", "comp_y").distinct(), "groups")
     p, q = (named.select(F.col("gid").alias(f"gid_{k}"), F.col("comp").alias(f"comp_{k}"), F.col("node").alias(k)) for k in "xy")
-    pairs = pairs.join(p, ["gid_x", "comp_x"]).join(q, ["gid_y", "comp_y"]).select("x", "y")
-    # members of one group share all of a prefix that no other group may have
-    g = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gid")
-    inner = named.join(g, "gid", "left_semi")
-    p, q = (inner.select("gid", F.col("node").alias(k), F.col("comp").alias(f"c_{k}")) for k in "xy")
-    inside = p.join(q, "gid").filter("c_x < c_y").select("x", "y")
-    return pairs.union(inside).distinct()
+    return pairs.join(p, ["gid_x", "comp_x"]).join(q, ["gid_y", "comp_y"]).select("x", "y")
+
+
+def _inside(named: DataFrame, texts: DataFrame, table: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Pairs of nodes of one group and different components that may reach the threshold.
+
+    They share their whole prefix of p shingles, so what follows it, n - p
+    shingles, must have need - p in common: the group is split by the first
+    shingles of that rest, of which linked sets share one.
+    """
+    several = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gid")
+    members = materialize(named.join(several, "gid", "left_semi"), "several")
+    own = texts.join(_small(members.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    tokens = _seconds(own, table, words, percent).distinct().join(members.select("gid", "node", "comp"), "node")
+    p, q = (tokens.select("gid", "token", F.col("node").alias(k), F.col("comp").alias(f"c_{k}")) for k in "xy")
+    return p.join(q, ["gid", "token"]).filter("c_x < c_y").select("x", "y")
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -4,8 +4,9 @@ import random
 import re
 from collections import defaultdict
 
-from tessera.llm import jaccard_join
+from tessera.llm import jaccard_join, queries
 from tessera.llm.jaccard_join import keep_first, near_duplicates
+from tests.oracle import assert_same
 
 
 def shingles(t):
@@ -69,6 +70,27 @@ def test_against_brute_force_on_planted_copies(spark):
     same(spark, rows)
 
 
+def test_one_prefix_and_many_unlinked_documents(spark):
+    """Documents whose rarest shingles are the same passage, while the rest tells them apart or makes them near copies."""
+    rng = random.Random(11)
+    gap = ["s1", "s2", "s3", "s4"]  # no shingle lies in two passages
+    rare = [*gap, *[f"r{i}" for i in range(30)], *gap]
+    pool = [[*[f"p{k}x{i}" for i in range(35)], *gap] for k in range(14)]
+    rows = [(1000 + n, " ".join([*gap, *[w for k in rng.sample(range(14), 3) for w in pool[k]]])) for n in range(300)]
+    for n in range(36):
+        some = rng.sample(range(14), 2) if n % 3 else [n % 2, 5]
+        rows.append((n, " ".join(rare + [w for k in some for w in pool[k]])))
+    same(spark, rows)
+    # the case is what it is meant to be: groups whose members lie in several components
+    texts = spark.createDataFrame([(n, t) for n, t in rows], "doc_id long, text string")
+    slots = 1 << 19
+    table = jaccard_join._table(jaccard_join._survey(texts, 5, slots), slots)
+    groups = defaultdict(set)
+    for r in jaccard_join._prefixes(texts, table, 5, 75).collect():
+        groups[r["gid"]].add((r["a"], r["b"]))
+    assert max(map(len, groups.values())) > 5
+
+
 def test_edges(spark):
     long = " ".join(f"v{i % 4001} u{i}" for i in range(60000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE\x0btwo"), (6, "one two three"), (7, long), (8, long + " end"), (9, "a b c d e"), (10, "a b c d e f"), (11, "a b c d e")]
@@ -102,5 +124,24 @@ def test_hashes_do_not_depend_on_the_block(monkeypatch):
 
 
 def test_documents(spark, sf):
-    df = spark.read.parquet(f"{sf}/documents.parquet")
-    same(spark, [(r["doc_id"], r["text"]) for r in df.collect()])
+    assert_same(spark, sf, queries.op10_jaccard_join, queries.oracle_sql()["op10_jaccard_join"])
+
+
+def test_components_of_hubs_chains_and_loops(spark):
+    """A star with most of the links, a long chain, a loop and a link to itself, against plain search."""
+    links = [(k, 0) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000), (3000, 3000)] + [(-5, 399)]
+    near = defaultdict(set)
+    for x, y in links:
+        near[x].add(y)
+        near[y].add(x)
+    want = {}
+    for v in sorted(near):
+        todo = [v] if v not in want else []
+        while todo:
+            u = todo.pop()
+            if u not in want:
+                want[u] = v
+                todo += near[u]
+    df = spark.createDataFrame(links, "x long, y long")
+    assert {r["node"]: r["comp"] for r in jaccard_join.components(df).collect()} == want
+    assert jaccard_join.components(df.limit(0)).count() == 0
