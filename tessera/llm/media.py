@@ -11,16 +11,20 @@ shuffled.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mapped
+from .common import mapped, materialize
 
 #: Fixed values of the formats: magic number, its place in the file, type.
 MAGICS = (
@@ -156,32 +160,62 @@ def ogg_end(b: bytes, i: int) -> int | None:
     return None
 
 
-def pdf_end(b: bytes, i: int) -> int | None:
-    end = b.find(b"%%EOF", i)
-    return end + 5 if end > 0 and b.find(b"startxref", i, end) > 0 and b[i + 5 : i + 6].isdigit() else None
+class Marks:
+    """Where a blob's PDF and ZIP files can end, looked up once a blob, so that many false starts cost no more than one."""
 
+    def __init__(self, blob: bytes) -> None:
+        self.blob = blob
 
-def zip_end(b: bytes, i: int) -> int | None:
-    at = b.find(b"PK\x05\x06", i)
-    while at >= 0 and at + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, at + 12)
-        if i + offset + size == at and b[i + offset : i + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(b):
-            return at + 22 + note
-        at = b.find(b"PK\x05\x06", at + 1)
-    return None
+    @cached_property
+    def pdf(self) -> tuple[list[int], list[int]]:
+        return self._places(b"%%EOF"), self._places(b"startxref")
+
+    @cached_property
+    def zip(self) -> dict[int, int]:
+        """The end of each ZIP file by its start: an end record says how far before it the file begins."""
+        b, out = self.blob, {}
+        for at in self._places(b"PK\x05\x06"):
+            if at + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, at + 12)
+                start, end = at - size - offset, at + 22 + note
+                if start >= 0 and end <= len(b) and b[start + offset : start + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                    out.setdefault(start, end)
+        return out
+
+    def _places(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.blob)]
+
+
+def pdf_end(b: bytes, i: int, marks: Marks) -> int | None:
+    """End of the PDF at i: version digit, a cross-reference pointer, the next end mark."""
+    if not b[i + 5 : i + 6].isdigit():
+        return None
+    ends, pointers = marks.pdf
+    k, j = bisect_left(ends, i), bisect_left(pointers, i)
+    return ends[k] + 5 if k < len(ends) and j < len(pointers) and pointers[j] < ends[k] else None
+
+
+def zip_end(b: bytes, i: int, marks: Marks) -> int | None:
+    return marks.zip.get(i)
 
 
 ENDS = {"image/png": png_end, "image/gif": gif_end, "image/jpeg": jpeg_end, "image/bmp": bmp_end, "audio/ogg": ogg_end, "application/pdf": pdf_end, "application/zip": zip_end}
+#: Types whose end is looked up among the marks of the whole blob.
+MARKED = ("application/pdf", "application/zip")
 
 
 def sniff(blob: bytes, machine: ahocorasick.Automaton | None = None) -> list[tuple[int, int, str]]:
     """(start, end, type) of all valid media of ``blob``, outermost first, none inside another."""
-    found, past = [], 0
+    found, past, marks = [], 0, Marks(blob)
     for at, (n, place, kind) in (machine or _automaton()).iter(blob.decode("latin-1")):
         i = at - n + 1 - place
         if i < past:
             continue
-        hit = riff(blob, i) if kind == "riff" else (e := ENDS[kind](blob, i)) and (kind, e)
+        if kind == "riff":
+            hit = riff(blob, i)
+        else:
+            e = ENDS[kind](blob, i, marks) if kind in MARKED else ENDS[kind](blob, i)
+            hit = (kind, e) if e else None
         if hit:
             found.append((i, hit[1], hit[0]))
             past = hit[1]
@@ -205,62 +239,78 @@ def wav_samples(blob: bytes, start: int = 0) -> bytes:
         at += 8 + size + size % 2
 
 
-def sniff_column(df: DataFrame, *, row_id: str, media: str, declared: str) -> DataFrame:
-    """(id, declared, corrected, valid, embedded[start, length, type]) of each row's bytes.
+def sniff_column(df: DataFrame, *, row_id: str, media: str, declared: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, declared, corrected, valid, embedded[start, length, type]) of each row's bytes, and the columns ``keep``.
 
     ``corrected``: the type of the valid media that starts at byte 0, else
     application/octet-stream. Null bytes count as empty. ``embedded`` lists what
-    else is found, in order, from which the media can be cut.
+    else is found, in order, from which the media can be cut. One blob is in
+    memory at a time besides its Arrow batch.
     """
-    given = df.select(F.col(row_id).alias("id"), F.col(media).alias("media"), F.col(declared).alias("declared"))
-    kind = "array<struct<start:bigint,length:bigint,type:string>>"
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    given = df.select(F.col(row_id).alias("id"), F.col(declared).alias("declared"), *kept, F.col(media).alias("_media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton()
         for b in batches:
-            found = [sniff(x or b"", machine) for x in b.column(1).to_pylist()]
+            found = [sniff(x.as_py() or b"", machine) for x in b.column(b.num_columns - 1)]
             top = [f[0] if f and f[0][0] == 0 else None for f in found]
             rest = [[{"start": s, "length": e - s, "type": t} for s, e, t in f[1 if o else 0 :]] for f, o in zip(found, top, strict=True)]
-            out = [b.column(0), b.column(2), pa.array([o[2] if o else "application/octet-stream" for o in top]), pa.array([o is not None for o in top]), pa.array(rest, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "declared", "corrected", "valid", "embedded"])
+            out = [pa.array([o[2] if o else "application/octet-stream" for o in top], pa.string()), pa.array([o is not None for o in top], pa.bool_()), pa.array(rest, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*b.schema.names[:-1], "corrected", "valid", "embedded"])
 
-    return mapped(given, run, f"id {df.schema[row_id].dataType.simpleString()}, declared string, corrected string, valid boolean, embedded {kind}")
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("type", T.StringType())]))
+    schema = T.StructType([*given.schema[:-1], T.StructField("corrected", T.StringType()), T.StructField("valid", T.BooleanType()), T.StructField("embedded", kind)])
+    return mapped(given, run, schema).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
-def stored_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", declared: str = "image/png") -> DataFrame:
-    """Every text as the samples of a WAV file, sniffed and read back.
+def store_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", declared: str = "image/png") -> DataFrame:
+    """(doc_id, n_bytes, media, declared): every text as the samples of a WAV file, written to the shared folder.
 
     The payload is the UTF-8 text (null: empty) and zero bytes up to a positive
-    multiple of 64. The stored file is declared a type that it isn't; the row
-    comes from what sniffing finds in the stored bytes. One text is in memory at
-    a time besides its Arrow batch. ``feature``: corrected type, how often each
-    nibble leads a byte in thousandths, and the number of media carved from
-    inside the payload.
+    multiple of 64. The declared type is wrong on purpose, for sniffing to correct.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "corrected", "embedded"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
-    def row(t: str | None, machine: ahocorasick.Automaton) -> tuple:
+    def stored(t: str | None) -> tuple[int, bytes]:
         raw = (t or "").encode()
-        blob = wav(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))
-        found = sniff(blob, machine)
-        if not found or found[0] != (0, len(blob), "audio/wav"):
+        return len(raw), wav(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [stored(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return materialize(mapped(given, run, f"doc_id {kind}, n_bytes long, media binary").withColumn("declared", F.lit(declared)), "media")
+
+
+def stored_texts(docs: DataFrame, **options) -> DataFrame:
+    """What ``sniff_column`` finds in the column that ``store_texts`` wrote, and the payloads read back from it.
+
+    ``feature``: corrected type, how often each nibble leads a byte in
+    thousandths, and the number of media carved from inside the payload.
+    """
+    found = sniff_column(store_texts(docs, **options), row_id="doc_id", media="media", declared="declared", keep=("n_bytes", "media"))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "corrected", "embedded"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def row(blob: bytes, corrected: str, inner: int) -> tuple:
+        if corrected != "audio/wav":
             raise ValueError("the stored form isn't the WAV file that was written")
         payload = wav_samples(blob)
-        inner = sniff(payload, machine)
-        counts = _nibbles(payload)
-        feature = f"audio/wav;{'.'.join(map(str, counts))};{len(inner)}"
-        return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, declared, found[0][2], len(inner))
+        feature = f"{corrected};{'.'.join(map(str, _nibbles(payload)))};{inner}"
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton()
         for b in batches:
-            rows = [row(t.as_py(), machine) for t in b.column(1)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, types, strict=True)]], names)
+            rows = [row(m.as_py(), c.as_py(), len(sniff(wav_samples(m.as_py()), machine))) for m, c in zip(b.column(2), b.column(4), strict=True)]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols[:6], b.column(3), b.column(4), cols[6]], names)
 
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = found.schema["id"].dataType.simpleString()
+    given = found.select("id", "n_bytes", "media", "declared", "corrected")
     return mapped(given, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, corrected string, embedded long")
 
 

@@ -198,15 +198,31 @@ def test_ranges(spark):
 
 def test_media_round_trip_and_sniffing(spark, edge):
     got = everywhere(edge, media.stored_texts)
-    for r, want in zip(got, sorted((r[0], r[1]) for r in EDGE if r[0] != 5), strict=False):
-        pass
+    import io
+    import struct
+    import wave
+    import zipfile
+
     by = {r[0]: r for r in got}
+    assert len(got) == len(EDGE)
     for i, t, *_ in EDGE:
         raw = (t or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert by[i][1:5] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert by[i][9] == "audio/wav"
-    import struct
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        assert by[i][5:7] == (len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest())
+        lead = Counter(x >> 4 for x in payload)
+        assert by[i][7] == f"audio/wav;{'.'.join(str(lead[k] * 1000 // len(payload)) for k in range(16))};0"
+        assert by[i][8:] == ("image/png", "audio/wav", 0)
+    kept = {r["doc_id"]: r for r in media.store_texts(edge.dropDuplicates(["doc_id"])).collect()}
+    for i, t, *_ in EDGE:  # the column itself is a WAV file that the standard library reads
+        with wave.open(io.BytesIO(bytes(kept[i]["media"]))) as w:
+            assert w.readframes(w.getnframes()).rstrip(b"\0").decode() == (t or "")
 
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -216,6 +232,12 @@ def test_media_round_trip_and_sniffing(spark, edge):
     bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
     wav = media.wav(b"\x80" * 9)
     rows_ = [(1, png, "image/gif"), (2, b"text GIF89a and BM " + gif + b"--" + png + wav, "text/plain"), (3, png[:-3], "image/png"), (4, None, None), (5, bmp, "x"), (6, b"", "x"), (7, wav, "x")]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "some text")
+    pdf = b"%PDF-1.4 x startxref 0 %%EOF"
+    for blob, want in ((b"ab" + packed.getvalue() + b"cd", [(2, 2 + len(packed.getvalue()), "application/zip")]), (b"%PDF-" * 50000 + pdf, [(250000, 250000 + len(pdf), "application/pdf")]), (b"PK\x03\x04" * 50000, []), (pdf[:-1], [])):
+        assert media.sniff(blob) == want
     out = {r["id"]: r for r in media.sniff_column(spark.createDataFrame(rows_, "id long, m binary, d string"), row_id="id", media="m", declared="d").collect()}
     assert [out[i]["corrected"] for i in range(1, 8)] == ["image/png", "application/octet-stream", "application/octet-stream", "application/octet-stream", "image/bmp", "application/octet-stream", "audio/wav"]
     assert [(e["start"], e["length"], e["type"]) for e in out[2]["embedded"]] == [(19, len(gif), "image/gif"), (19 + len(gif) + 2, len(png), "image/png"), (19 + len(gif) + 2 + len(png), len(wav), "audio/wav")]
