@@ -389,7 +389,9 @@ def _close(pairs: DataFrame, survey: DataFrame, percent: int) -> DataFrame:
     """
     bits = [f"p{i}" for i in range(SKETCH)]
     x, y = (survey.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *bits)]) for k in "xy")
-    met = x.join(_small(materialize(pairs, "candidates")), "x").join(y, "y")
+    pairs = materialize(pairs, "candidates")
+    hot = hot_keys(pairs, "y", pairs.count())
+    met = x.join(_small(dealt(pairs, "y", "x", hot)), "x").join(copied(y, "y", hot), ["y", "_slice"])
     differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in bits), F.lit(0))
     return met.filter(differ <= F.col("n_x") + F.col("n_y") - 2 * _need("n_x", "n_y", percent)).select("x", "y").distinct()
 
