@@ -150,8 +150,14 @@ def merge_parts(vectors: DataFrame) -> DataFrame:
 
 
 def matching_round(edges: DataFrame, seed: str = "") -> DataFrame:
-    """(vertex, mate) of one handshake: each vertex points to its neighbour with the least md5, mutual ones match."""
-    rank = F.struct(F.md5(F.concat(F.col("dst").cast("string"), F.lit(seed)).cast("binary")).alias("h"), F.col("dst").alias("u"))
+    """(vertex, mate) of one handshake: each vertex points along its edge with the least md5, mutual ones match.
+
+    The hash is the edge's, the same from both ends, so an edge that is the least
+    at both of its ends is matched: a share of all edges' ends each round, hubs
+    or not, and rounds grow with the logarithm of the graph.
+    """
+    edge = F.concat(F.least("src", "dst").cast("string"), F.lit(":"), F.greatest("src", "dst").cast("string"), F.lit(seed))
+    rank = F.struct(F.md5(edge.cast("binary")).alias("h"), F.col("dst").alias("u"))
     to = edges.filter("src <> dst").groupBy(F.col("src").alias("vertex")).agg(F.min(rank).alias("m")).select("vertex", F.col("m.u").alias("mate"))
     back = to.select(F.col("vertex").alias("mate"), F.col("mate").alias("vertex"))
     return to.join(back, ["vertex", "mate"])
@@ -160,8 +166,8 @@ def matching_round(edges: DataFrame, seed: str = "") -> DataFrame:
 def match_vertices(edges: DataFrame, seed: str = "") -> DataFrame:
     """(vertex, mate): handshakes until none is left; unmatched vertices are their own mates.
 
-    The vertex of least rank among those left and its own choice point to each
-    other, so every round matches some while there are edges.
+    The edge of least rank among those left is matched, so every round matches
+    some while there are edges.
     """
     verts, left, found, i = materialize(vertices(edges), "vertices"), edges.select("src", "dst"), None, 0
     while True:

@@ -410,7 +410,7 @@ _D = "dv AS (SELECT dst AS vertex, sum(cut)::BIGINT AS ext, count(*) AS deg, (2
 _BEST = "best AS (SELECT a.vertex AS a, b.vertex AS b, a.d + b.d - 2 * (c.src IS NOT NULL)::BIGINT AS gain FROM dv a JOIN dv b ON a.vertex % 3 = 0 AND b.vertex % 3 = 1 LEFT JOIN e c ON c.src = a.vertex AND c.dst = b.vertex WHERE a.d + b.d - 2 * (c.src IS NOT NULL)::BIGINT > 0 ORDER BY gain DESC, a, b LIMIT 1)"
 _ADJ = "k AS (SELECT * FROM e WHERE src <> 0 AND dst <> 0), lines AS (SELECT i.n::BIGINT AS n, coalesce(string_agg(k.dst::VARCHAR, ' ' ORDER BY k.dst), '') AS value FROM (SELECT unnest(generate_series(1, (SELECT max(src) FROM k))) AS n) i LEFT JOIN k ON k.src = i.n GROUP BY 1)"
 _COARSE = "v AS (SELECT DISTINCT src AS vertex FROM e), h AS (SELECT v.vertex, least(v.vertex, coalesce(m.mate, v.vertex)) AS head FROM v LEFT JOIN m ON m.vertex = v.vertex), c AS (SELECT vertex, dense_rank() OVER (ORDER BY head) - 1 AS id FROM h)"
-_MATCH = """p AS (SELECT src AS vertex, arg_min(dst, md5(dst::VARCHAR)) AS mate FROM e WHERE src <> dst GROUP BY 1),
+_MATCH = """p AS (SELECT src AS vertex, arg_min(dst, md5(least(src, dst) || ':' || greatest(src, dst))) AS mate FROM e WHERE src <> dst GROUP BY 1),
 m AS (SELECT p.vertex, p.mate FROM p JOIN p q ON q.vertex = p.mate AND q.mate = p.vertex)"""
 
 

@@ -57,7 +57,7 @@ def matched(w):
     """Handshakes by md5 until no edge is left: a vertex and its mate, in plain Python."""
     left, mate, i = {v: {u for u in w[v] if u != v} for v in w}, {v: v for v in w}, 0
     while any(left.values()):
-        to = {v: min(us, key=lambda u: (md5(f"{u}{i or ''}".encode()).hexdigest(), u)) for v, us in left.items() if us}
+        to = {v: min(us, key=lambda u: (md5(f"{min(u, v)}:{max(u, v)}{i or ''}".encode()).hexdigest(), u)) for v, us in left.items() if us}
         gone = {v for v in to if to.get(to[v]) == v}
         for v in gone:
             mate[v] = to[v]
