@@ -22,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, and Spark's own value, in whose place it is set.
+BATCH_BYTES, SPARK_BATCH_BYTES = 8 << 20, 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold no more than BATCH_BYTES, or one row beyond it; a session's own value other than Spark's stays.
+
+    Both sides of the pipe hold a batch several times over, outside the heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(SPARK_BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, with the package on the executors and the worker's memory given back.
 
@@ -29,6 +43,7 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     caches and batches took would stay with it.
     """
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
