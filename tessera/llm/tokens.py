@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 #: The byte-level pre-tokenizer's fixed pattern, its classes written out for U+0000 to U+024F.
 LETTER, NUMBER, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
 PIECES = f" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+#: ASCII characters that the split isn't done for.
+ODD = "\0\x1c\x1d\x1e\x1f"
 #: Words and pieces kept by each of the two generations of their cache (about 200 bytes each).
 CACHED = 300_000
 
@@ -63,17 +65,28 @@ class Encoder:
         self.tokenizer, kind = _loaded(path)
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and kind["model"].get("type") == "BPE" and not kind["model"].get("dropout")
-        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or []]
-        self.find, self.strange = re.compile(PIECES).findall, re.compile("|".join(["[^\x01-\x1b\x20-ɏ]", *added])).search
-        self.letters, self.tokenize = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize
+        self.added = [t["content"] for t in kind.get("added_tokens") or []]
+        self.find, self.beyond = re.compile(PIECES).findall, re.compile("[^\x01-\x1b\x20-ɏ]").search
+        self.letters, self.tokenize, self.bytes = dict(enumerate(byte_letters())), self.tokenizer.model.tokenize, kind["bytes"]
         self.known = _Cache(self._ids, CACHED)
-        self.gaps = [" " + c for c in "\t\n\x0b\x0c\r \x85\xa0"]
+        self.gaps = [(c, " " + c) for c in "\t\n\x0b\x0c\r\x85\xa0"]
+
+    def strange(self, text: str) -> bool:
+        """Whether ``text`` goes to the library whole; ASCII is searched for single characters only, which is much faster than a pattern."""
+        if any([c in text for c in ODD]) if text.isascii() else self.beyond(text):
+            return True
+        return any([t in text for t in self.added])
 
     def _ids(self, key: str) -> bytes:
-        pieces = [key[1:]] if key[0] == "\0" else self.find(" " + key)
-        if len(pieces) > 1:
-            return self._joined(pieces)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(pieces[0].encode().decode("latin-1").translate(self.letters))])
+        if key.isalpha() and key.isascii():  # one piece, whose bytes but the blank stand for themselves
+            letters = self.letters[32] + key
+        else:
+            pieces = [key[1:]] if key[0] == "\0" else self.find(" " + key)
+            if len(pieces) > 1:
+                return self._joined(pieces)
+            letters = pieces[0].encode().decode("latin-1").translate(self.letters)
+        table = self.bytes
+        return b"".join([table[t.id] for t in self.tokenize(letters)])
 
     def _joined(self, pieces: list[str]) -> bytes:
         known = self.known
@@ -85,7 +98,7 @@ class Encoder:
             return b""
         if not self.by_piece or self.strange(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text[-1] == " " or any(g in text for g in self.gaps):
+        if text[-1] == " " or "  " in text or any([c in text and g in text for c, g in self.gaps]):
             return self._joined(self.find(text))
         first, *words = text.split(" ")
         return self._joined(self.find(first)) + b"".join(map(self.known.__getitem__, words))
@@ -97,7 +110,10 @@ def _loaded(path: str) -> tuple[Tokenizer, dict]:
     with open(path, encoding="utf-8") as f:
         kind = json.load(f)
     model = kind["model"]
-    return Tokenizer.from_file(path), {**kind, "model": {k: model.get(k) for k in ("type", "dropout")}}
+    tokenizer = Tokenizer.from_file(path)
+    ids = [*(model["vocab"].values() if isinstance(model.get("vocab"), dict) else ()), *(t["id"] for t in kind.get("added_tokens") or [])]
+    kind |= {"model": {k: model.get(k) for k in ("type", "dropout")}, "bytes": [i.to_bytes(4, "little") for i in range(max(ids, default=-1) + 1)]}
+    return tokenizer, kind
 
 
 def encoder(path: str) -> Encoder:
